@@ -72,6 +72,15 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
 
 
+def class_representatives(df: DataFrame, row_id: str, key: str) -> DataFrame:
+    """One row by value of ``key``: that of the least ``row_id``. Only the surplus rows are moved."""
+    ids = df.select(row_id, key)
+    many = ids.groupBy(key).agg(F.min(row_id).alias("_least"), F.max(row_id).alias("_most")).where("_least < _most").drop("_most")
+    surplus = materialize(ids.join(many, key).where(F.col(row_id) > F.col("_least")).select(row_id).distinct(), "surplus")
+    small = surplus.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(surplus) if small else surplus, row_id, "left_anti")
+
+
 def comparison_form(text: str | None) -> str:
     """Ruby readings, ruby bars and annotations out, NFKC, letters and digits only. Null gives ''."""
     if not text:

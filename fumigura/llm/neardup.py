@@ -172,6 +172,11 @@ def _open_groups(t: float):
         doc = np.concatenate([p[4].astype(np.int64) + b for p, b in zip(parts, base, strict=True)])
         place = np.concatenate([p[5] for p in parts]).astype(np.int64)
         del parts
+        # copies of one text, from several batches, become one member
+        h, first, same = np.unique(h, return_index=True, return_inverse=True)
+        sketch, n = sketch[first], n[first]
+        _, first = np.unique(key.astype(np.uint64) << np.uint64(32) | same[doc].astype(np.uint64), return_index=True)
+        key, doc, place = key[first], same[doc[first]], place[first]
         size = n.astype(np.int64)[doc]
         # the largest partner whose overlap can still reach the threshold from this place on
         most = np.floor((size - place) * ((1 + t) / t) + 1e-6).astype(np.int64) - size

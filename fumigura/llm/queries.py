@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fumigura.llm import leak, neardup
+from fumigura.llm import bpe, chunk, leak, mixing, neardup, overlap, sentences, stratify, unify
 from fumigura.llm.common import table
 
 
@@ -18,12 +19,66 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark_sample", "id", "text").union(table(spark, d, "fused_sample", "id", "text"))
 
 
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(table(spark, d, t, "rec_id", "source", "text") for t in ("train_v15_1m", "val_v15_1m"))
+
+
+def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "snapped_context_window", "window_id", "profile", "text"), table(spark, d, "window_limit")
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    samples = unify.alike_records(table(spark, d, "fused_sample", "id", "text"))
+    offsets = unify.alike_columns(table(spark, d, "token_offset", "offset_id", "originalchar", "tokenchar"), "originalchar", "tokenchar")
+    return samples.select(F.lit("sample").alias("kind"), "key_a", "key_b").union(offsets.select(F.lit("offset"), F.col("offset_id").cast("string"), F.lit("")).distinct())
+
+
+def _p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    samples = unify.unify(table(spark, d, "fused_sample", "id", "text").where("text is not null").distinct(), "text", "form")
+    offsets = unify.unify(unify.unify(table(spark, d, "token_offset", "offset_id", "originalchar", "tokenchar"), "originalchar", "original_form"), "tokenchar", "token_form")
+    rows = samples.select(F.lit("sample").alias("kind"), F.col("id").alias("key"), F.col("form").alias("form_a"), F.lit(None).cast("string").alias("form_b"))
+    return rows.union(offsets.select(F.lit("offset"), F.col("offset_id").cast("string"), "original_form", "token_form"))
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    pov = sentences.sentence_units(table(spark, d, "pov_sentence_input").select(F.col("pov_id").alias("row_id"), "text", "lang"))
+    sar = sentences.sentence_units(table(spark, d, "sentence_analysis_result").select(F.col("sar_id").alias("row_id"), F.col("sentence").alias("text"), F.lit(None).cast("string").alias("lang")))
+    return pov.select(F.lit("pov").alias("src"), "*").union(sar.select(F.lit("sar"), "*"))
+
+
+def _bench(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "benchmark_sample"), table(spark, d, "sample_target")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "source", "text")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _documents(spark, d), table(spark, d, "mix_target")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: leak.leaked_runs(_corpus(s, d), _items(s, d)),
         "p1_passages": lambda s, d: leak.leaked_passages(_corpus(s, d), _items(s, d)),
+        "p2_found": lambda s, d: chunk.oversized_windows(*_windows(s, d)),
+        "p2_pieces": lambda s, d: chunk.cut_windows(*_windows(s, d)),
+        "p3_found": lambda s, d: overlap.overlaps(*_splits(s, d)).select("rec_id_a", "rec_id_b").distinct(),
+        "p3_report": lambda s, d: overlap.overlap_report(*_splits(s, d)),
+        "p4_found": _p4,
+        "p4_forms": _p4_forms,
+        "p5_found": lambda s, d: _sentences(s, d).select("src", "row_id", "end_pos").distinct(),
+        "p5_units": _sentences,
         "p6_found": lambda s, d: neardup.near_duplicate_pairs(_corpus(s, d)),
         "p6_groups": lambda s, d: neardup.near_duplicate_groups(_corpus(s, d)),
+        "p7_found": lambda s, d: stratify.sample_report(*_bench(s, d)).where("short").select(*stratify.LABELS),
+        "p7_report": lambda s, d: stratify.sample_report(*_bench(s, d)),
+        "p7_sample": lambda s, d: stratify.stratified_sample(*_bench(s, d)),
+        "p8_ids": lambda s, d: bpe.encode_corpus(_documents(s, d)),
+        "p8_roundtrip": lambda s, d: bpe.decode_corpus(bpe.encode_corpus(_documents(s, d))),
+        "p9_mix": lambda s, d: mixing.mixed_documents(*_mix(s, d)),
+        "p9_shares": lambda s, d: mixing.mix_report(*_mix(s, d)),
     }
 
 
