@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumigura.llm import bpe, chunk, leak, mixing, neardup, overlap, sentences, stratify, unify
+from fumigura.llm import bpe, chunk, leak, mixing, mojibake, neardup, overlap, sentences, stratify, unify
 from fumigura.llm.common import table
 
 
@@ -79,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_roundtrip": lambda s, d: bpe.decode_corpus(bpe.encode_corpus(_documents(s, d))),
         "p9_mix": lambda s, d: mixing.mixed_documents(*_mix(s, d)),
         "p9_shares": lambda s, d: mixing.mix_report(*_mix(s, d)),
+        "p10_found": lambda s, d: mojibake.garbled(_documents(s, d)).select("doc_id"),
+        "p10_restored": lambda s, d: mojibake.garbled(_documents(s, d)),
     }
 
 
