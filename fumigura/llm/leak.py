@@ -134,9 +134,9 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, passage: int = 24, erro
     pieces = items.where(F.col("text").isNotNull()).select("id", "text").distinct().mapInArrow(_hits(piece, side, piece, 1), _HIT)
     pieces = materialize(pieces, "leak-pieces")
     slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = pieces.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toPandas()  # at most 2^20 rows
+    words = pieces.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()  # at most 2^20 rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     hits = spread(corpus.where(F.col("text").isNotNull()).select("id", "text")).mapInArrow(_hits(piece, side, 1, 0, shared), _HIT)
     pairs = hits.select("h", F.col("id").alias("corpus_id"), F.col("ctx").alias("corpus_ctx")).join(pieces.select("h", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx")), "h").drop("h")

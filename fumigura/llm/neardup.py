@@ -85,9 +85,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(table: DataFrame) -> np.ndarray:
     """Records by token, in hashed slots."""
-    got = table.select("form").mapInArrow(_count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^20 rows
+    got = table.select("form").mapInArrow(_count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 rows
     counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
     return counts
 
 

@@ -113,9 +113,9 @@ def near_classes(train: DataFrame, val: DataFrame, share: float = 0.10) -> DataF
     one_t, one_v = class_representatives(train, "rec_id", "h").select("h", "form"), class_representatives(val, "rec_id", "h").select("h", "form")
     windows = materialize(one_v.mapInArrow(_pieces(tenths, False), _PIECE).drop("nth"), "overlap-windows")
     slot = F.shiftrightunsigned("k", 64 - BITMAP_BITS)
-    words = windows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toPandas()  # at most 2^20 rows
+    words = windows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()  # at most 2^20 rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     pieces = one_t.mapInArrow(_pieces(tenths, True, spark.sparkContext.broadcast(bitmap.tobytes())), _PIECE).alias("t")
     v = windows.alias("v")
     edits = F.floor(F.greatest("t.len", "v.len") * tenths / 10_000)
