@@ -85,4 +85,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the two problems that it can express; the others need NFKC, edit distances or rule tables."""
+    wide = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)).replace("'", "''")
+    narrow = "".join(chr(i) for i in range(0x21, 0x7F)).replace("'", "''")
+    label = lambda c: f"trim(lower(translate({c}, '{wide}　 ', '{narrow}  ')))"
+    same = " AND ".join(f"{label('b.' + c)} = {label('t.' + c)}" for c in stratify.LABELS)
+    named = ", ".join(f"t.{c}" for c in stratify.LABELS)
+    return {
+        "p2_found": "SELECT DISTINCT window_id FROM snapped_context_window JOIN window_limit USING (profile) WHERE length(text) > max_chars",
+        "p7_found": f"SELECT {named} FROM sample_target t LEFT JOIN benchmark_sample b ON {same} GROUP BY {named}, t.sample_size, t.target_share, t.min_rows HAVING count(DISTINCT b.id) < round(t.sample_size * t.target_share, 9) OR count(DISTINCT b.id) < t.min_rows",
+    }

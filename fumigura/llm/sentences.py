@@ -36,11 +36,13 @@ _CARRY = r"(?:と(?!ころ|きに|きどき|にかく|もかく|うとう|たん
 Rule = tuple[bool, str, str]
 #: Rules of all languages, tried last.
 COMMON: list[Rule] = [
+    (GO_ON, r"》", r"\s*\S"),
     (GO_ON, r"\d[.．]", r"\d"),
     (BREAK, r"[\p{Hiragana}\p{Katakana}\p{Han}]\.", r"[^\d.]|$"),
     (GO_ON, r"[A-Za-z]．", r"[\p{L}\d]"),
     (GO_ON, r"\.", r"\S"),
     (GO_ON, r"(?:^|[^\p{L}\p{M}])\p{Lu}\.", r"\s"),
+    (GO_ON, r"(?:^|[^\p{L}\p{M}])\p{Ll}\.", r"\s?\p{L}\."),
     (GO_ON, r".", r"\s*[,;:，、；：]"),
     (GO_ON, r".", r"\s+[–—]\s"),
     (GO_ON, r".", r"\s*\p{Ll}"),
