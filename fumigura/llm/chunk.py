@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import column, spread
+from fumigura.llm.common import column, distinct_spread
 from fumigura.llm.sentences import protected_spans, sentence_ends
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = 6, 5, 4, 3, 2, 0
@@ -128,8 +128,8 @@ def cut_windows(windows: DataFrame, limits: DataFrame) -> DataFrame:
     window_id, profile, piece_no, begin_pos, end_pos (code points; begin_pos
     with the overlap), overlap, boundary (what stands at the end), piece.
     """
-    rows = windows.select("window_id", "profile", "text").distinct().join(limits.select("profile", "max_chars", "overlap_chars").dropDuplicates(["profile"]), "profile", "left")
-    done = spread(rows).mapInArrow(_cut, "window_id long, profile string, text string, pieces array<struct<begin_pos:int, end_pos:int, overlap:int, boundary:string>>")
+    rows = distinct_spread(windows.select("window_id", "profile", "text")).join(limits.select("profile", "max_chars", "overlap_chars").dropDuplicates(["profile"]), "profile", "left")
+    done = rows.mapInArrow(_cut, "window_id long, profile string, text string, pieces array<struct<begin_pos:int, end_pos:int, overlap:int, boundary:string>>")
     out = done.select("window_id", "profile", "text", F.posexplode("pieces").alias("piece_no", "p"))
     return out.select("window_id", "profile", "piece_no", "p.begin_pos", "p.end_pos", "p.overlap", "p.boundary", F.expr("substring(text, p.begin_pos + 1, p.end_pos - p.begin_pos)").alias("piece"))
 

@@ -63,6 +63,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def distinct_spread(df: DataFrame) -> DataFrame:
+    """Distinct rows in as many partitions as shuffles have, not fewer: what follows is costlier than its size tells."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *df.columns).distinct()
+
+
 def semi_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (one column of that name, materialised, distinct).
 

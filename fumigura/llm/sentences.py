@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import column, spread
+from fumigura.llm.common import column, distinct_spread
 
 #: Opening marks and what closes them.
 PAIRS = {"「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "〈": "〉", "《": "》", "〔": "〕", "［": "］", "[": "]", "“": "”", "„": "“”", "«": "»", "‹": "›", "｢": "｣"}
@@ -149,8 +149,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentence_units(df: DataFrame) -> DataFrame:
     """(row_id, idx, end_pos, sentence) of (row_id long, text, lang); repeated rows count once."""
-    rows = df.where(F.col("text").isNotNull()).select("row_id", "text", "lang").distinct()
-    done = spread(rows).mapInArrow(_units, "row_id long, text string, ends array<int>")
+    rows = df.where(F.col("text").isNotNull()).select("row_id", "text", "lang")
+    done = distinct_spread(rows).mapInArrow(_units, "row_id long, text string, ends array<int>")
     units = done.select("row_id", "text", "ends", F.posexplode("ends").alias("idx", "end_pos"))
     begin = F.when(F.col("idx") == 0, 0).otherwise(F.get("ends", F.col("idx") - 1))
     sentence = F.regexp_replace(F.substring("text", F.col("begin") + 1, F.col("end_pos") - F.col("begin")), r"(?U)^\s+", "")
