@@ -79,17 +79,23 @@ def sentences(c: Column, ends: str = ENDS, keep_tail: bool = True) -> Column:
 
 
 def find_spans(c: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of all matches, in code points; ``pattern`` has no groups of its own."""
-    parts = F.regexp_extract_all(c, F.lit(f"(?s)({pattern})|(?:(?!{pattern}).)+"), F.lit(0))
-    hits = F.regexp_extract_all(c, F.lit(f"(?s)({pattern})|(?:(?!{pattern}).)+"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    """array<struct<start, end, text>> of all matches, in code points; ``pattern`` has no groups of its own.
+
+    One pass cuts the text into matches and what lies between them; a piece
+    between can't match as a whole, as no match begins at its first character.
+    Texts without a match are passed over by a plain search.
+    """
+    kind = "array<struct<start:int,end:int,text:string>>"
+    parts = F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|(?:(?!{pattern}).)+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        to = acc["at"] + F.length(x["part"])
-        hit = F.array(F.struct(acc["at"].alias("start"), to.alias("end"), x["part"].alias("text")))
-        return F.struct(to.alias("at"), F.when(x["hit"] != "", F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+        to = acc["at"] + F.length(x)
+        hit = F.array(F.struct(acc["at"].alias("start"), to.alias("end"), x.alias("text")))
+        return F.struct(to.alias("at"), F.when(x.rlike(rf"(?s)\A(?:{pattern})\z"), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.arrays_zip(parts.alias("part"), hits.alias("hit")), start, step, lambda acc: acc["out"])
+    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.when(c.isNull(), F.lit(None).cast(kind)).when(c.rlike(f"(?s){pattern}"), found).otherwise(F.array().cast(kind))
 
 
 def sentence_spans(c: Column) -> Column:

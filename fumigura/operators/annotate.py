@@ -53,7 +53,7 @@ def action_labels(text: Column) -> Column:
     """array<int> of actions by character."""
     n = F.least(F.length(text), F.lit(MAX_LENGTH))
     spans = action_spans(text)
-    last = lambda i: F.coalesce(F.element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), -1)["action"], F.lit(0))
+    last = lambda i: F.coalesce(F.try_element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(-1))["action"], F.lit(0))
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), last))
 
 
@@ -67,7 +67,7 @@ def entity_labels(text: Column) -> Column:
     spans = entity_spans(text)
 
     def label(i: Column) -> Column:
-        s = F.element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), -1)
+        s = F.try_element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(-1))
         return F.when(s.isNull(), 0).when(i == s["start"], 1).when(i == F.least(s["end"], n) - 1, 3).otherwise(2)
 
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), label))

@@ -33,7 +33,8 @@ def mismatch(c: Column) -> Column:
     hit = F.lit(False)
     for p in P.MISMATCHES:
         hit = hit | s.rlike(p)
-    return hit & ~s.rlike("――|──")
+    reason = s.rlike("(?:から|ため)(?:です|である)")  # what all the patterns end in, found by a plain search
+    return F.when(reason, hit & ~s.rlike("――|──")).otherwise(F.when(c.isNotNull(), False))
 
 
 def passives(c: Column) -> Column:
@@ -98,8 +99,11 @@ def repeated_particles(sentence: str, cadence: float = 0.0, least: int = MIN_REP
     out = []
     raised = cadence >= CADENCE
     need, need_no = (math.ceil(least * 1.5), 5) if raised else (least, 3)
+    parts = clauses(sentence)
     for p in P.REPEATED:
-        for start, clause in clauses(sentence):
+        if sentence.count(p) < min(need, need_no):
+            continue
+        for start, clause in parts:
             at = places(clause, p)
             runs = [at]
             if p == "の":
@@ -116,10 +120,12 @@ def repeated_particles(sentence: str, cadence: float = 0.0, least: int = MIN_REP
 
 
 def repetition_penalty(sentence: str, least: int = MIN_REPEATED) -> float:
-    total = 0.0
+    total, parts = 0.0, clauses(sentence)
     for p in P.REPEATED:
-        most = max((len(places(c, p)) for _, c in clauses(sentence)), default=0)
         need = max(least, 4) if p == "の" else least
+        if sentence.count(p) < need:
+            continue
+        most = max((len(places(c, p)) for _, c in parts), default=0)
         total += 0.15 * max(0, most - need + 1)
     return total
 
@@ -145,7 +151,7 @@ def lint(df: DataFrame, telemetry: Column | None = None) -> DataFrame:
     topic = F.regexp_extract(s, r"(?:[^\s。、]{1,20})(?:は|が|のは|としては)", 0)
     twist = F.when(mismatch(plain), F.array(F.struct(F.greatest(F.lit(0), F.instr(s, topic) - 1).alias("start"), F.length(s).alias("end"), topic.alias("text")))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
     passive = passives(s)
-    passive = F.when(F.size(passive) >= 2, passive).otherwise(F.slice(passive, 1, 0))
+    passive = F.transform(F.array(passive), lambda p: F.when(F.size(p) >= 2, p).otherwise(F.slice(p, 1, 0)))[0]  # a name for what is costly to find
     commas = F.length(F.regexp_replace(s, "[^,、]", ""))
     score = 1.0 - F.col("penalty") - F.when(mismatch(s), 0.45).otherwise(0.0) - 0.25 * F.size("negations") - 0.2 * F.size("passives") - F.when((F.length(s) > 150) & (commas >= 6), 0.1 * (commas - 5)).otherwise(0.0)
     wide = base.withColumns({"negations": double_negations(s), "passives": passive, "twist": twist})

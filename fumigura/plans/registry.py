@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fumigura.functions import text as T
 from fumigura.operators import anaphora, annotate, consistency, corpus, evaluate, events, generate, lint, modality, normalizer, pas, pov, tokenizer, vectors
-from fumigura.sources.io import digest, table
+from fumigura.sources.io import digest, distinct_rows, table
 from fumigura.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,11 @@ def query(f: Query) -> Query:
 
 
 def _corpus(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "token_corpus_v18_leakfree", "id", "text").where("text is not null").distinct()
+    return distinct_rows(table(s, d, "token_corpus_v18_leakfree", "id", "text").where("text is not null"))
 
 
 def _train(s: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(s, d, "train_v15_1m", "rec_id", "text", *more).where("text is not null").distinct()
+    return distinct_rows(table(s, d, "train_v15_1m", "rec_id", "text", *more).where("text is not null"))
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows in as many partitions as shuffles have, not fewer: what follows is costlier than its size tells."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *df.columns).distinct()
+
+
 def texts(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text) of whole text files; files that vanish meanwhile are left out."""
     return spark.read.option("ignoreMissingFiles", "true").text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
