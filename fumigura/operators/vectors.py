@@ -35,7 +35,8 @@ def spectrum(df: DataFrame, v: str, dims: int) -> DataFrame:
     """Effective rank and condition number of the standardised columns, from their correlation matrix (dims by dims)."""
     c = np.eye(dims)
     for r in correlations(df, v, dims).collect():
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["corr"] if r["corr"] is not None else 0.0
+        if r["i"] != r["j"]:  # columns without variance correlate with nothing
+            c[r["i"], r["j"]] = c[r["j"], r["i"]] = 0.0 if r["corr"] is None or np.isnan(r["corr"]) else r["corr"]
     s = np.sqrt(np.maximum(np.linalg.eigvalsh(c), 0))[::-1]
     p = s / s.sum()
     rank = float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))
