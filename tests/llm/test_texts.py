@@ -173,3 +173,16 @@ def test_garbled(spark):
     assert restored[1000] == japanese[0] and restored[1002] == japanese[2] and restored[1003] == japanese[3]
     assert restored[2000] == "Der Fährmann öffnete die Tür." and all(r["posterior"] > 0.5 for r in got)
     assert mojibake.garbled(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_two_garblings_and_lost_bytes(spark):
+    rng = random.Random(9)
+    words = ["森の奥で古い鍵を拾った。", "彼女は静かに笑い、町へ向かった。", "雨の夜、塔の上から手紙が届いた。", "誰も知らない話だった。", "「もう戻れない」と言った。"]
+    texts = ["".join(rng.choice(words) for _ in range(6)) for _ in range(400)]
+    utf8, euc = (lambda t: t.encode().decode("latin-1")), (lambda t: t.encode("euc_jp").decode("gb18030", "replace"))
+    rows = [(i, "s", euc(t) if i < 3 else t + "�" * 12 if i < 30 else t) for i, t in enumerate(texts)]
+    rows += [(1000, "s", euc(texts[50]) + "\n" + utf8(texts[51])), (1001, "s", utf8(texts[52]) + "�" * 12)]
+    got = {r["doc_id"]: r for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[1000]["restored"] == texts[50] + "\n" + texts[51] and not got[1000]["lost"]
+    assert got[1001]["restored"] == texts[52] + "�" * 12 and got[1001]["lost"]
+    assert all(got[i]["chain"] == "lost" and got[i]["restored"] is None and got[i]["lost"] for i in range(3, 30))
