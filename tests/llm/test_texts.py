@@ -186,3 +186,16 @@ def test_two_garblings_and_lost_bytes(spark):
     assert got[1000]["restored"] == texts[50] + "\n" + texts[51] and not got[1000]["lost"]
     assert got[1001]["restored"] == texts[52] + "�" * 12 and got[1001]["lost"]
     assert all(got[i]["chain"] == "lost" and got[i]["restored"] is None and got[i]["lost"] for i in range(3, 30))
+
+
+@pytest.mark.parametrize(("right", "wrong"), [("utf-8", "cp932"), ("utf-8", "latin-1"), ("euc_jp", "gb18030")])
+def test_garbling_that_is_common(spark, right, wrong):
+    rng = random.Random(8)
+    words = ["森の奥で古い鍵を拾った。", "彼女は静かに笑い、町へ向かった。", "雨の夜、塔の上から手紙が届いた。", "誰も知らない話だった。", "朝の市場で魚を売る声がした。", "兄は黙って火を見ていた。"]
+    texts = ["".join(rng.choice(words) for _ in range(8)) for _ in range(300)]
+    rows = [(i, "s", t.encode(right).decode(wrong, "replace") if i < 90 else t) for i, t in enumerate(texts)]
+    rows += [(1000 + k, "s", rows[0][2]) for k in range(300)]  # copies of one
+    got = {r["doc_id"]: r["restored"] for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert set(got) == {*range(90), *range(1000, 1300)}
+    if wrong != "cp932":  # that one loses bytes
+        assert all(got[i] == texts[i] for i in range(90))
