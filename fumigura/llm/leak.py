@@ -1,11 +1,13 @@
 """Problem 1: passages of evaluation items inside a corpus.
 
-Pigeonhole edit matching. A passage of ``passage`` characters with at most
-``errors`` edits is split into ``errors + 1`` pieces, one of which must occur
-unchanged. The pieces of all items are laid on a grid, so that every passage of
-an item contains a whole piece; the corpus is searched for exact piece hits
-(a bitmap of fixed size first, then an equi-join), and every hit is verified
-with Myers' bit-parallel distance over the text around it.
+Pigeonhole edit matching. Of a passage of ``passage`` characters with at most
+``errors`` edits, one of ``errors + 1`` stretches must occur unchanged. The
+pieces of all items are shorter than a stretch by less than the step of their
+grid, so that every stretch contains a whole piece wherever the passage begins;
+the corpus is searched for exact piece hits (a bitmap of fixed size first, then
+an equi-join), and for every hit all passages that contain the piece are
+verified: one edit by how far the texts agree on both sides, more by Myers'
+bit-parallel distance over the text around it.
 
 Nulls, empty and short texts (form under one passage) leak nothing and are no
 items. Repeated rows of one id count once. Extra columns are ignored.
@@ -24,6 +26,8 @@ from fumigura.llm.common import codes, column, comparison_form, materialize, mix
 
 #: log2 of the bits of the piece bitmap: 8 MB whatever the number of items.
 BITMAP_BITS = 26
+#: Fills an item's context; in no comparison form.
+_PAD = 1
 
 _HIT = "h long, id string, pos int, ctx string"
 
@@ -91,25 +95,39 @@ def myers_distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return best
 
 
+def _reach(i: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item characters from a piece outward that agree with the corpus: without an edit, and with one at most."""
+    n, span = i.shape
+    real, same = i != _PAD, i == c[:, :span]
+    none = np.cumprod(same, 1).sum(1)
+    k = np.arange(span)
+    before, upto = k < none[:, None], k <= none[:, None]
+    left_out = np.concatenate([np.zeros((n, 1), bool), i[:, 1:] == c[:, : span - 1]], 1)
+    ways = (same | upto, left_out | upto, (i == c[:, 1 : span + 1]) | before)  # replaced, left out, put in
+    return none, np.maximum.reduce([np.cumprod(w & real, 1).sum(1) for w in ways])
+
+
 def _verify(piece: int, side: int, passage: int, errors: int):
     """mapInArrow: joined hits -> verified (corpus_id, item_id, run, errors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = piece + 2 * side
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c, i = (np.frombuffer("".join(column(batch, k).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, span) for k in ("corpus_ctx", "item_ctx"))
-            same = c == i
-            exact = same[:, side : side + piece].all(1)  # else two pieces of one hash
-            right = np.cumprod(same[:, side + piece :], 1).sum(1)
-            left = np.cumprod(same[:, side - 1 :: -1] if side else same[:, :0], 1).sum(1)
+            c, i = (np.frombuffer("".join(column(batch, k).to_pylist()).encode("utf-32-le"), np.uint32).reshape(batch.num_rows, -1) for k in ("corpus_ctx", "item_ctx"))
+            at = side + errors  # the corpus shows as many characters more on each side as may be put in
+            exact = (c[:, at : at + piece] == i[:, side : side + piece]).all(1)  # else two pieces of one hash
+            pad = np.zeros((len(c), 1), np.uint32)
+            right, right_one = _reach(i[:, side + piece :], np.concatenate([c[:, at + piece :], pad], 1))
+            left, left_one = _reach(i[:, :side][:, ::-1], np.concatenate([c[:, :at][:, ::-1], pad], 1))
             run_len = np.where(exact, left + piece + right, 0)
-            # the passages that hold the piece: its neighbour to the left or to the right belongs to them
             best = np.full(len(c), errors + 1, np.int64)
-            for s in sorted({max(0, side + piece - passage), side}):
-                d = myers_distances(i[:, s : s + passage], c)
-                np.minimum(best, d, out=best)
+            if errors == 1:
+                best[np.maximum(left + right_one, left_one + right) + piece >= passage] = 1
+            elif errors:
+                for s in range(side + 1):
+                    whole = (i[:, s : s + passage] != _PAD).all(1)
+                    best[whole] = np.minimum(best[whole], myers_distances(i[whole, s : s + passage], c[whole]))
             best[run_len >= passage] = 0
             keep = (best <= errors) & exact
             where = np.flatnonzero(keep)
@@ -128,17 +146,19 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, passage: int = 24, erro
     corpus_id, item_id, run_len (longest run in common that a piece hit showed,
     counted up to one passage on each side) and errors (fewest edits of a passage).
     """
-    piece = passage // (errors + 1)
+    stretch = passage // (errors + 1)
+    grid = max(1, stretch // 3)
+    piece = stretch - grid + 1
     side = passage - piece
     spark = corpus.sparkSession
-    pieces = items.where(F.col("text").isNotNull()).select("id", "text").distinct().mapInArrow(_hits(piece, side, piece, 1), _HIT)
+    pieces = items.where(F.col("text").isNotNull()).select("id", "text").distinct().mapInArrow(_hits(piece, side, grid, _PAD), _HIT)
     pieces = materialize(pieces, "leak-pieces")
     slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
     words = pieces.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()  # at most 2^20 rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    hits = spread(corpus.where(F.col("text").isNotNull()).select("id", "text")).mapInArrow(_hits(piece, side, 1, 0, shared), _HIT)
+    hits = spread(corpus.where(F.col("text").isNotNull()).select("id", "text")).mapInArrow(_hits(piece, side + errors, 1, 0, shared), _HIT)
     pairs = hits.select("h", F.col("id").alias("corpus_id"), F.col("ctx").alias("corpus_ctx")).join(pieces.select("h", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx")), "h").drop("h")
     found = pairs.mapInArrow(_verify(piece, side, passage, errors), "corpus_id string, item_id string, run_len int, errors int")
     return found.groupBy("corpus_id", "item_id").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
@@ -146,4 +166,4 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, passage: int = 24, erro
 
 def leaked_runs(corpus: DataFrame, items: DataFrame, passage: int = 24) -> DataFrame:
     """The pairs that share a run of at least ``passage`` characters, exactly checked."""
-    return leaked_passages(corpus, items, passage).where(F.col("run_len") >= passage).select("corpus_id", "item_id")
+    return leaked_passages(corpus, items, passage, 0).where(F.col("run_len") >= passage).select("corpus_id", "item_id")

@@ -71,6 +71,39 @@ def test_leak_with_one_edit(frame):
     assert [(r["corpus_id"], r["errors"]) for r in got] == [("near", 1)] and got[0]["run_len"] < 24
 
 
+def test_leaks_of_any_alignment(frame):
+    rng = random.Random(11)
+    letter = lambda: chr(0x4E00 + rng.randrange(3000))
+    corpus, items = [], []
+    for k in range(100):
+        item = [letter() for _ in range(rng.randint(24, 60))]
+        p = rng.randint(0, len(item) - 24)
+        part, e = item[p : p + 24], rng.randrange(24)
+        part[e : e + rng.choice([0, 1, 1])] = [letter()] * rng.randint(0, 1)
+        if k % 4 == 0:  # a second edit
+            part[(e + 5) % 20] = letter()
+        items.append("".join(item))
+        corpus.append("".join([letter() for _ in range(rng.randint(0, 9))] + part + [letter() for _ in range(rng.randint(0, 9))]))
+
+    def near(u, t):  # least edits of a passage of u in t
+        best = 2
+        for p in range(len(u) - 23):
+            row = [0] * (len(t) + 1)
+            for a in u[p : p + 24]:
+                new = [row[0] + 1]
+                for j, b in enumerate(t):
+                    new.append(min(row[j] + (a != b), row[j + 1] + 1, new[-1] + 1))
+                row = new
+            best = min(best, *row)
+        return best
+
+    c = frame([(str(k), t) for k, t in enumerate(corpus)], "id string, text string")
+    g = frame([(str(k), t) for k, t in enumerate(items)], "id string, text string")
+    got = {(r["corpus_id"], r["item_id"]): r["errors"] for r in leak.leaked_passages(c, g).collect()}
+    want = {(str(k), str(k)): n for k, (u, t) in enumerate(zip(items, corpus, strict=True)) if (n := near(u, t)) < 2}
+    assert got == want and 60 < len(want) < 100
+
+
 def jaccard(a, b):
     x, y = ({f[k : k + 3] for k in range(len(f) - 2)} for f in map(comparison_form, (a, b)))
     return len(x & y) / len(x | y) if x | y else float(comparison_form(a) == comparison_form(b))
