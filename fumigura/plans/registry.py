@@ -454,7 +454,7 @@ def pas_events(s, d):
 
 @query
 def pas_relations(s, d):
-    return pas.scored(_items(s, d))
+    return pas.scored(_corpus(s, d))
 
 
 @query

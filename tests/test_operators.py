@@ -122,6 +122,16 @@ def test_pas():
     assert np.allclose(share.sum(-1), 1) and np.allclose(zero, 1 - share.max(-1))
 
 
+def test_pas_of_whole_sentences(spark):
+    h, w = np.random.default_rng(2).normal(size=(90, 16)), pas.weights(16)
+    for i in (0, 40, 88):
+        got, want = pas.row_relations(h, w, i), pas.relations(pas.forward(h, w), [i])
+        assert [(*g[:3], g[4]) for g in got] == [(*x[:3], x[4]) for x in want] and np.allclose([g[3] for g in got], [x[3] for x in want])
+    text = "森" * 70 + "た。" + "町" * 10 + "だ。"
+    rows = pas.scored(spark.createDataFrame([("a", text), ("b", None)], "id string, text string")).collect()
+    assert {r["predicate"] for r in rows} == {70, 82}
+
+
 def test_measures(spark):
     df = spark.createDataFrame([(True, True)] * 3 + [(False, True), (True, False), (None, None)], "t boolean, g boolean")
     r = evaluate.confusion(df, F.col("t"), F.col("g")).first()
