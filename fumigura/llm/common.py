@@ -11,8 +11,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Keys of a filter set up to this count are broadcast; larger ones are joined by shuffle.
 BROADCAST_KEYS = 200_000
@@ -28,9 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where none is."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where none is set a local one is, but only in local mode: on a cluster each
+    executor would write to its own disk.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="fumigura-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -58,8 +65,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input of fewer splits than cores, so that Python stages use all of them."""
+    """Repartition a scan of fewer splits than cores, so that Python stages use all of them.
+
+    A plan that shuffles is left alone: to ask for its partitions would run it.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
@@ -69,6 +81,84 @@ def distinct_spread(df: DataFrame) -> DataFrame:
     return df.repartition(n, *df.columns).distinct()
 
 
+#: Bits of a key filter: eight for each key, but no fewer and no more than 2 to the power of these.
+FILTER_BITS = (20, 30)
+
+
+class KeyFilter:
+    """A bitmap of the keys of one side of a join, sized from their number, for the other side to skip rows by.
+
+    It never drops a row that has a partner. Beyond 2^30 bits (128 MB) it lets
+    more and more pass; the join that follows is exact either way.
+    """
+
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        self.bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * keys.count()).bit_length()))
+        slot = F.shiftrightunsigned(key, 64 - self.bits)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+        words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()  # at most 2^24 rows
+        bitmap = np.zeros(1 << (self.bits - 6), np.int64)
+        bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+        self._shared = keys.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        words = np.frombuffer(self._shared.value, np.uint64)
+        slot = keys >> np.uint64(64 - self.bits)
+        return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+#: Bits of a dice, and bits by which one level of ``first_by_dice`` narrows its range.
+DICE_BITS, LEVEL_BITS = 60, 12
+#: Rows of a range beyond which it is narrowed once more.
+EDGE_ROWS = 20_000
+
+
+def dice(*columns) -> Column:
+    """A hash of ``columns`` read as a number of ``DICE_BITS`` bits."""
+    return F.xxhash64(*columns).bitwiseAND((1 << DICE_BITS) - 1)
+
+
+def first_by_dice(rows: DataFrame, group: str, key: str, weight, need: dict) -> DataFrame:
+    """``rows`` with the column ``first``: whether the weights in the order of the dice, by group, add up to ``need`` at most.
+
+    ``rows`` is a table on storage with the columns ``group``, ``dice`` and
+    ``key``; ``weight`` is an expression on it. No group is sorted: sums over
+    4,096 ranges of the dice show in which range the sum is reached, that one
+    is narrowed until it holds few rows, and only they are put in order.
+    ``need`` has an entry for each group asked for.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[group].dataType.simpleString()
+    weight = weight if weight is not None else F.lit(1)
+    edges = {g: (0, DICE_BITS, 0.0) for g in need}  # start of the range, log2 of its width, weights before it
+    open_ = set(need)
+    while open_:
+        at = spark.createDataFrame([(g, edges[g][0], edges[g][1], float(edges[g][2]), float(need[g])) for g in sorted(open_)], f"{group} {kind}, _lo long, _width int, _before double, _need double")
+        inside = rows.join(F.broadcast(at), group).where((F.col("dice") >= F.col("_lo")) & (F.col("dice") - F.col("_lo") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_width"))))
+        slot = F.call_function("shiftrightunsigned", F.col("dice") - F.col("_lo"), F.greatest(F.col("_width") - LEVEL_BITS, F.lit(0)))
+        sums = inside.groupBy(group, "_need", "_before", slot.alias("_slot")).agg(F.sum(weight).cast("double").alias("_part"), F.count("*").alias("_rows"))
+        upto = F.col("_before") + F.sum("_part").over(Window.partitionBy(group).orderBy("_slot"))
+        over = sums.withColumn("_upto", upto).where("_upto > _need").groupBy(group).agg(F.min_by(F.struct("_slot", F.expr("cast(_upto - _part as double)").alias("_start"), "_rows"), "_slot").alias("x"))
+        found = {r[group]: r["x"] for r in over.collect()}  # a row for each group asked for
+        for g in sorted(open_):
+            lo, width, _ = edges[g]
+            if g not in found:  # all of the range fits
+                edges[g] = (lo + (1 << width), 0, float(need[g]))
+                open_.discard(g)
+                continue
+            less = max(width - LEVEL_BITS, 0)
+            edges[g] = (lo + (found[g]["_slot"] << less), less, found[g]["_start"])
+            if less == 0 or found[g]["_rows"] <= EDGE_ROWS:
+                open_.discard(g)
+    at = spark.createDataFrame([(g, edges[g][0], edges[g][1], float(edges[g][2]), float(need[g])) for g in sorted(need)], f"{group} {kind}, _lo long, _width int, _before double, _need double")
+    placed = rows.join(F.broadcast(at), group)
+    end = F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_width"))
+    run = F.col("_before") + F.sum(weight).over(Window.partitionBy(group).orderBy("dice", key))
+    edge = placed.where((F.col("dice") >= F.col("_lo")) & (F.col("dice") < end)).withColumn("first", run <= F.col("_need"))
+    other = placed.where((F.col("dice") < F.col("_lo")) | (F.col("dice") >= end)).withColumn("first", F.col("dice") < F.col("_lo"))
+    return other.union(edge).drop("_lo", "_width", "_before", "_need")
+
+
 def semi_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (one column of that name, materialised, distinct).
 

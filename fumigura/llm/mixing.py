@@ -5,8 +5,9 @@ share; a hash of the document, read as a uniform number, is put through the
 inverse of the Poisson distribution cut off at the source's cap (with the mean
 that the cut-off distribution needs), and the document is repeated that often.
 What chance leaves over or short is taken from or given to documents in the
-order of a second hash, until the source is within one document of its share.
-The copies come out in the order of a third hash: shuffled globally.
+order of a second hash, one use each, until the source is within one document
+of its share: so the counts are a Poisson draw but for the share of uses that
+the report gives as moved. The copies come out in the order of a third hash: shuffled globally.
 
 Sizes are tokens of a public tokenizer. Documents with a null source, of a
 source without target, or of no tokens are not used. A source without tokens
@@ -22,10 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumigura.llm import bpe
-from fumigura.llm.common import materialize
-
-#: Ranges of the second hash in which sizes are summed before one range is walked.
-RANGES = 4096
+from fumigura.llm.common import dice, first_by_dice, materialize
 
 
 def _cut_mean(lam: float, cap: int) -> float:
@@ -65,7 +63,9 @@ def _plan(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFram
     wanted = [r.asDict() for r in targets.where("source is not null").select("source", "target_share", "max_repeat").distinct().orderBy("source").collect()]  # a row for each source that is asked for
     spark = documents.sparkSession
     names = spark.createDataFrame([(r["source"],) for r in wanted], "source string")
-    used = documents.join(F.broadcast(names), "source", "left_semi").where(F.col("text").isNotNull()).select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    used = documents.join(F.broadcast(names), "source", "left_semi").where(F.col("text").isNotNull()).select("doc_id", "source", "text")
+    # encoding is costlier than its bytes tell: as many partitions as shuffles have
+    used = used.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").dropDuplicates(["doc_id"])
     sized = materialize(bpe.token_counts(used.select(F.struct("doc_id", "source").alias("key"), "text"), "key").where("tokens > 0").select("key.doc_id", "key.source", "tokens"), "mix-sizes")
     have = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     for r in wanted:
@@ -82,21 +82,13 @@ def _plan(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFram
 
 def _repaired(drawn: DataFrame, seed: int) -> DataFrame:
     """Counts moved by one, in the order of a hash, until each source is within one document of its aim."""
-    drawn = drawn.withColumn("dice", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("range", F.pmod("dice", F.lit(RANGES)).cast("int"))
     gap = drawn.groupBy("source").agg((F.first("aim") - F.sum(F.col("count") * F.col("tokens"))).alias("gap"))
-    rows = materialize(drawn.join(F.broadcast(gap), "source"), "mix-drawn")  # gap has a row for each source asked for
+    rows = materialize(drawn.join(F.broadcast(gap), "source").withColumn("dice", dice(F.lit(seed + 1), "doc_id")), "mix-drawn")  # gap has a row for each source asked for
+    need = {r["source"]: abs(r["gap"]) for r in rows.groupBy("source").agg(F.first("gap").alias("gap")).collect()}
     able = F.when(F.col("gap") > 0, F.col("count") < F.col("cap")).otherwise(F.col("count") > 0)
-    moved = F.when(able, F.col("tokens")).otherwise(0)
-    sums = rows.groupBy("source", "range").agg(F.sum(moved).alias("part"), F.abs(F.first("gap")).alias("need"))
-    walk = Window.partitionBy("source").orderBy("range")
-    sums = sums.withColumn("upto", F.sum("part").over(walk)).select("source", "range", "need", "upto", (F.col("upto") - F.col("part")).alias("before"))
-    rows = rows.join(F.broadcast(sums), ["source", "range"])  # at most RANGES rows for each source asked for
-    edge = rows.where((F.col("before") < F.col("need")) & (F.col("upto") > F.col("need")))
-    inside = Window.partitionBy("source", "range").orderBy("dice", "doc_id")
-    edge = edge.withColumn("run", F.col("before") + F.sum(moved).over(inside)).withColumn("move", able & (F.col("run") <= F.col("need"))).drop("run")
-    other = rows.where((F.col("before") >= F.col("need")) | (F.col("upto") <= F.col("need"))).withColumn("move", able & (F.col("upto") <= F.col("need")))
-    step = F.when(F.col("gap") > 0, 1).otherwise(-1)
-    return other.unionByName(edge).select("doc_id", "source", "tokens", (F.col("count") + F.when(F.col("move"), step).otherwise(0)).alias("count"))
+    moved = first_by_dice(rows, "source", "doc_id", F.when(able, F.col("tokens")).otherwise(0), need)
+    step = F.when(F.col("first") & able, F.when(F.col("gap") > 0, 1).otherwise(-1)).otherwise(0)
+    return moved.select("doc_id", "source", "tokens", (F.col("count") + step).alias("count"), step.alias("step"))
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -111,10 +103,10 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = 0) ->
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """By source: target and reached share of all tokens, tokens there and used, documents, and the most uses of one."""
+    """By source: target and reached share of all tokens, tokens there and used, documents, the most uses of one, and the share of uses moved after the draw."""
     counts, wanted, _ = _plan(documents, targets, seed)
     spark = documents.sparkSession
     asked = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeat"], r["documents"], r["tokens"]) for r in wanted], "source string, target_share double, max_repeat int, documents long, tokens_there long")
-    used = counts.groupBy("source").agg(F.sum(F.col("tokens") * F.col("count")).alias("tokens_used"), F.max("count").alias("most_uses"))
+    used = counts.groupBy("source").agg(F.sum(F.col("tokens") * F.col("count")).alias("tokens_used"), F.max("count").alias("most_uses"), (F.sum(F.abs("step")) / F.sum("count")).alias("moved_share"))
     out = asked.join(used, "source", "left").withColumn("_all", F.sum("tokens_used").over(Window.partitionBy()))
-    return out.select("source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.col("_all")).alias("reached_share"), "max_repeat", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "documents", "tokens_there", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"))
+    return out.select("source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.col("_all")).alias("reached_share"), "max_repeat", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "documents", "tokens_there", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("moved_share", F.lit(0.0)).alias("moved_share"))

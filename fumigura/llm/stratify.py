@@ -3,7 +3,7 @@
 Swap repair: a random sample that satisfies the floors is counted by category
 signature; as long as it lowers the deviation from the targets, members of one
 signature are exchanged for members of another, in counts; at the end the
-counts are filled with random records.
+counts are filled with random records, and the report counts those.
 
 Labels compare without letter case, width form and outer blanks. A record with
 a null label is in no stratum; one id counts once. An empty table gives targets
@@ -17,14 +17,11 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from fumigura.llm.common import materialize
+from fumigura.llm.common import dice, first_by_dice, materialize
 from fumigura.llm.unify import per_distinct
 
 LABELS = ("gold_category", "subcategory", "expected_modality")
-#: Parts in which the members of one stratum are ranked before they are ranked together.
-SALTS = 64
 
 
 def label(text: str) -> str:
@@ -55,23 +52,16 @@ def repair(available: list[int], targets: list[float], floors: list[int], size:
         if left == before:
             i = rng.choice(open_)
             take[i], room[i], left = take[i] + 1, room[i] - 1, left - 1
+    floor = [min(a, f) for a, f in zip(available, floors, strict=True)]
     while True:
-        over = [i for i in range(n) if take[i] > min(available[i], floors[i])]
-        under = [i for i in range(n) if take[i] < available[i]]
-        best, gain = None, 1e-9
-        for i in over:
-            for j in under:
-                if i != j:
-                    # moving k lowers the deviation most at half the difference of the two surpluses
-                    d = (take[i] - targets[i]) - (take[j] - targets[j])
-                    k = max(1, min(take[i] - min(available[i], floors[i]), available[j] - take[j], round(d / 2)))
-                    g = 2 * k * d - 2 * k * k
-                    if g > gain:
-                        best, gain = (i, j, k), g
-        if best is None:
+        # an exchange of one lowers the deviation if the surpluses differ by more than one; the widest pair does most
+        surplus = [t - x for t, x in zip(take, targets, strict=True)]
+        over = max((i for i in range(n) if take[i] > floor[i]), key=lambda i: surplus[i], default=None)
+        under = min((i for i in range(n) if take[i] < available[i]), key=lambda i: surplus[i], default=None)
+        if over is None or under is None or surplus[over] - surplus[under] <= 1 + 1e-9:
             return take
-        i, j, k = best
-        take[i], take[j] = take[i] - k, take[j] + k
+        k = max(1, min(take[over] - floor[over], available[under] - take[under], int((surplus[over] - surplus[under]) / 2)))
+        take[over], take[under] = take[over] - k, take[under] + k
 
 
 def _plan(items: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, list[dict]]:
@@ -83,33 +73,41 @@ def _plan(items: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, l
     members = materialize(rows.join(F.broadcast(strata), [f"_{c}" for c in LABELS]).select("id", "stratum").distinct(), "strata")
     count = dict(members.groupBy("stratum").count().collect())
     have = [count.get(i, 0) for i in range(len(keys))]
-    size = wanted[0]["sample_size"] if wanted else 0
+    sizes = {r["sample_size"] for r in wanted}
+    if len(sizes) > 1:
+        raise ValueError("sample_size differs between targets")
+    size = sizes.pop() if sizes else 0
     floors = [r["min_rows"] for r in wanted]
     take = repair(have, [r["sample_size"] * r["target_share"] for r in wanted], floors, size, seed)
     return members, [r | {"stratum": i, "available": have[i], "drawn": take[i]} for i, r in enumerate(wanted)]
 
 
-_REPORT = "gold_category string, subcategory string, expected_modality string, target_rows double, min_rows int, available long, drawn int, short boolean"
+def _drawn(members: DataFrame, plan: list[dict], seed: int) -> DataFrame:
+    """(id, stratum) of the members drawn at random, as many by stratum as the plan says."""
+    rows = materialize(members.withColumn("dice", dice(F.lit(seed), "id")), "strata-dice")
+    return first_by_dice(rows, "stratum", "id", None, {r["stratum"]: r["drawn"] for r in plan}).where("first").select("id", "stratum")
+
+
+_REPORT = "stratum int, gold_category string, subcategory string, expected_modality string, target_rows double, min_rows int, available long"
 
 
 def sample_report(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """By stratum of ``targets``: rows aimed at, available and drawn, and whether it falls short of its target or floor."""
-    _, plan = _plan(items, targets, seed)
-    rows = []
-    for r in plan:
-        aim = round(r["sample_size"] * r["target_share"], 9)
-        rows.append((*(r[c] for c in LABELS), float(aim), r["min_rows"], r["available"], r["drawn"], r["available"] < aim or r["available"] < r["min_rows"]))
-    return items.sparkSession.createDataFrame(rows, _REPORT)
+    """By stratum of ``targets``: rows aimed at, available and drawn, and how the sample falls short.
+
+    ``drawn`` counts the records of the sample. ``missed``: they are fewer than
+    the target or the floor (also by less than one record, or because the floors
+    of others take their place); ``short``: and there are not enough records.
+    """
+    members, plan = _plan(items, targets, seed)
+    rows = [(r["stratum"], *(r[c] for c in LABELS), float(round(r["sample_size"] * r["target_share"], 9)), r["min_rows"], r["available"]) for r in plan]
+    counts = _drawn(members, plan, seed).groupBy("stratum").agg(F.count("*").alias("drawn"))
+    out = items.sparkSession.createDataFrame(rows, _REPORT).join(F.broadcast(counts), "stratum", "left").drop("stratum").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    out = out.withColumn("missed", (F.col("drawn") < F.col("target_rows")) | (F.col("drawn") < F.col("min_rows")))
+    return out.withColumn("short", F.col("missed") & ((F.col("available") < F.col("target_rows")) | (F.col("available") < F.col("min_rows"))))
 
 
 def stratified_sample(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """(id, and the labels of its stratum) of the records drawn."""
     members, plan = _plan(items, targets, seed)
-    spark = items.sparkSession
-    takes = spark.createDataFrame([(r["stratum"], r["drawn"], *(r[c] for c in LABELS)) for r in plan], "stratum int, drawn int, " + ", ".join(f"{c} string" for c in LABELS))
-    dice = F.xxhash64(F.lit(seed), "id")
-    rows = members.join(F.broadcast(takes), "stratum").withColumn("dice", dice).withColumn("salt", F.pmod("dice", F.lit(SALTS)))
-    # a stratum may hold a third of all rows: ranked in parts first
-    part = rows.withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "salt").orderBy("dice", "id"))).where("rank <= drawn")
-    whole = part.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy("dice", "id"))).where("rank <= drawn")
-    return whole.select("id", *LABELS)
+    names = items.sparkSession.createDataFrame([(r["stratum"], *(r[c] for c in LABELS)) for r in plan], "stratum int, " + ", ".join(f"{c} string" for c in LABELS))
+    return _drawn(members, plan, seed).join(F.broadcast(names), "stratum").select("id", *LABELS)

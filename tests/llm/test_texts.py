@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fumigura.llm import bpe, chunk, mixing, mojibake, sentences, stratify
+from fumigura.llm import bpe, chunk, common, mixing, mojibake, sentences, stratify
 
 
 def units(text, lang=None):
@@ -199,3 +200,35 @@ def test_garbling_that_is_common(spark, right, wrong):
     assert set(got) == {*range(90), *range(1000, 1300)}
     if wrong != "cp932":  # that one loses bytes
         assert all(got[i] == texts[i] for i in range(90))
+
+
+def test_sample_is_what_the_report_counts(spark):
+    rng = random.Random(12)
+    names = [("dialogue", "q", "dialogue"), ("narrative", "s", "narrative"), ("monologue", "m", "inner"), ("other", "o", "x")]
+    have, shares, floors, size = [400, 300, 12, 2], [0.3, 0.4, 0.25, 0.05], [5, 5, 5, 5], 200
+    items = [(f"{k}-{i}", *n) for k, n in enumerate(names) for i in range(have[k])]
+    rng.shuffle(items)
+    df = spark.createDataFrame(items + items[:50], "id string, gold_category string, subcategory string, expected_modality string")
+    t = spark.createDataFrame([(*n, s, f, size) for n, s, f in zip(names, shares, floors, strict=True)], "gold_category string, subcategory string, expected_modality string, target_share double, min_rows int, sample_size int")
+    sample = stratify.stratified_sample(df, t).collect()
+    drawn = {n[0]: sum(r["gold_category"] == n[0] for r in sample) for n in names}
+    report = {r["gold_category"]: r for r in stratify.sample_report(df, t).collect()}
+    assert len({r["id"] for r in sample}) == len(sample) == size and {k: r["drawn"] for k, r in report.items()} == drawn
+    assert drawn["monologue"] == 12 and drawn["other"] == 2 and {k for k, r in report.items() if r["short"]} == {"monologue", "other"}
+    # no exchange between two strata comes nearer to the targets
+    surplus = {n[0]: drawn[n[0]] - size * s for n, s in zip(names, shares, strict=True)}
+    assert all(surplus[a[0]] - surplus[b[0]] <= 1 + 1e-9 for a, x in zip(names, have, strict=True) for b, y in zip(names, have, strict=True) if drawn[b[0]] < y)
+
+
+def test_first_by_dice(spark, monkeypatch):
+    monkeypatch.setattr(common, "EDGE_ROWS", 3)
+    rows = [(g, k, rng_w) for g in "abc" for k, rng_w in enumerate(random.Random(ord(g)).choices(range(1, 9), k=300))]
+    df = common.materialize(spark.createDataFrame(rows, "g string, k int, w int").withColumn("dice", common.dice("g", "k")), "dice")
+    need = {"a": 0, "b": 500, "c": 10_000}
+    got = common.first_by_dice(df, "g", "k", F.col("w"), need).collect()
+    assert len(got) == len(rows)
+    for g, most in need.items():
+        left, mine = most, sorted((r for r in got if r["g"] == g), key=lambda r: r["dice"])
+        for r in mine:
+            left -= r["w"]
+            assert r["first"] == (left >= 0)
