@@ -118,7 +118,7 @@ def dice(*columns) -> Column:
     return F.xxhash64(*columns).bitwiseAND((1 << DICE_BITS) - 1)
 
 
-def first_by_dice(rows: DataFrame, group: str, key: str, weight, need: dict) -> DataFrame:
+def first_by_dice(rows: DataFrame, group: str, key: list[str], weight, need: dict) -> DataFrame:
     """``rows`` with the column ``first``: whether the weights in the order of the dice, by group, add up to ``need`` at most.
 
     ``rows`` is a table on storage with the columns ``group``, ``dice`` and
@@ -153,7 +153,7 @@ def first_by_dice(rows: DataFrame, group: str, key: str, weight, need: dict) ->
     at = spark.createDataFrame([(g, edges[g][0], edges[g][1], float(edges[g][2]), float(need[g])) for g in sorted(need)], f"{group} {kind}, _lo long, _width int, _before double, _need double")
     placed = rows.join(F.broadcast(at), group)
     end = F.col("_lo") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_width"))
-    run = F.col("_before") + F.sum(weight).over(Window.partitionBy(group).orderBy("dice", key))
+    run = F.col("_before") + F.sum(weight).over(Window.partitionBy(group).orderBy("dice", *key))
     edge = placed.where((F.col("dice") >= F.col("_lo")) & (F.col("dice") < end)).withColumn("first", run <= F.col("_need"))
     other = placed.where((F.col("dice") < F.col("_lo")) | (F.col("dice") >= end)).withColumn("first", F.col("dice") < F.col("_lo"))
     return other.union(edge).drop("_lo", "_width", "_before", "_need")

@@ -2,12 +2,13 @@
 
 Poisson replication: each source has a mean repetition rate that gives it its
 share; a hash of the document, read as a uniform number, is put through the
-inverse of the Poisson distribution cut off at the source's cap (with the mean
-that the cut-off distribution needs), and the document is repeated that often.
-What chance leaves over or short is taken from or given to documents in the
-order of a second hash, one use each, until the source is within one document
-of its share: so the counts are a Poisson draw but for the share of uses that
-the report gives as moved. The copies come out in the order of a third hash: shuffled globally.
+inverse of the Poisson distribution, cut off at the source's cap, and the
+document is repeated that often. As the rate grows a document gains its uses one
+by one, each at a rate that its uniform number fixes; uses are taken in the order
+of these rates until the source has its share. So the counts are one Poisson draw
+at the rate at which the tokens drawn, not only those expected, are within one
+document of the share. The copies come out in the order of another hash: shuffled
+globally.
 
 Sizes are tokens of a public tokenizer. Documents with a null source, of a
 source without target, or of no tokens are not used. A source without tokens
@@ -16,42 +17,48 @@ gets none; the others keep their shares of the same total.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumigura.llm import bpe
-from fumigura.llm.common import dice, first_by_dice, materialize
-
-
-def _cut_mean(lam: float, cap: int) -> float:
-    """Mean of min(X, cap) for a Poisson X."""
-    p, mean, tail = math.exp(-lam), 0.0, 1.0
-    for k in range(cap):
-        tail -= p
-        mean += max(0.0, tail)
-        p *= lam / (k + 1)
-    return mean
-
-
-def poisson_thresholds(rate: float, cap: int) -> list[float]:
-    """Distribution function at 0 .. cap - 1 of the Poisson distribution cut off at ``cap`` whose mean is ``rate``."""
-    if cap < 1 or rate >= cap - 1e-9:
-        return [0.0] * max(0, cap)
-    lo, hi = 0.0, 1.0
-    while _cut_mean(hi, cap) < rate and hi < 700:
-        hi *= 2
-    for _ in range(100):
+from fumigura.llm.common import DICE_BITS, column, first_by_dice, materialize
+
+
+def entry_rates(u: np.ndarray, k: int) -> np.ndarray:
+    """The Poisson means from which on the quantile at ``u`` is at least ``k``."""
+
+    def below(rate: np.ndarray) -> np.ndarray:  # P(X < k)
+        p, total = np.exp(-rate), np.zeros_like(rate)
+        for j in range(k):
+            total = total + p
+            p = p * rate / (j + 1)
+        return total
+
+    lo, hi = np.zeros_like(u), np.full_like(u, k + 1.0)
+    while (far := below(hi) > u).any():
+        hi = np.where(far, hi * 2, hi)
+    for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _cut_mean(mid, cap) < rate else (lo, mid)
-    p, total, out = math.exp(-lo), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(min(1.0, total))
-        p *= lo / (k + 1)
-    return out
+        more = below(mid) > u
+        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+    return hi
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> their uses up to the cap, with the rate of each as a dice."""
+    for batch in batches:
+        u, cap = column(batch, "u").to_numpy(), column(batch, "cap").to_numpy()
+        for k in range(1, int(cap.max(initial=0)) + 1):
+            at = np.flatnonzero(cap >= k)
+            rate = entry_rates(u[at], k)
+            value = np.minimum(rate / (1 + rate) * (1 << DICE_BITS), float((1 << DICE_BITS) - 256)).astype(np.int64)
+            rows = batch.select(["doc_id", "source", "tokens"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(at), k, np.int32)), pa.array(value)], names=["doc_id", "source", "tokens", "copy_no", "dice"])
 
 
 def _uniform(*cols):
@@ -59,7 +66,7 @@ def _uniform(*cols):
 
 
 def _plan(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, list[dict], float]:
-    """Sized documents with their counts, the sources' targets, and the total."""
+    """The uses drawn, the sources' targets, and the total."""
     wanted = [r.asDict() for r in targets.where("source is not null").select("source", "target_share", "max_repeat").distinct().orderBy("source").collect()]  # a row for each source that is asked for
     spark = documents.sparkSession
     names = spark.createDataFrame([(r["source"],) for r in wanted], "source string")
@@ -73,22 +80,12 @@ def _plan(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFram
     total = min((r["max_repeat"] * r["tokens"] / r["target_share"] for r in wanted if r["tokens"] and r["target_share"] > 0), default=0.0)
     for r in wanted:
         r["aim"] = r["target_share"] * total if r["tokens"] else 0.0
-        r["cut"] = poisson_thresholds(r["aim"] / r["tokens"] if r["tokens"] else 0.0, r["max_repeat"])
-    rates = spark.createDataFrame([(r["source"], r["max_repeat"], float(r["aim"]), r["cut"]) for r in wanted], "source string, cap int, aim double, cut array<double>")
-    drawn = sized.join(F.broadcast(rates), "source").withColumn("u", _uniform(F.lit(seed), "doc_id"))
-    drawn = drawn.withColumn("count", F.size(F.filter("cut", lambda c: c <= F.col("u")))).drop("cut", "u")
-    return _repaired(drawn, seed), wanted, total
-
-
-def _repaired(drawn: DataFrame, seed: int) -> DataFrame:
-    """Counts moved by one, in the order of a hash, until each source is within one document of its aim."""
-    gap = drawn.groupBy("source").agg((F.first("aim") - F.sum(F.col("count") * F.col("tokens"))).alias("gap"))
-    rows = materialize(drawn.join(F.broadcast(gap), "source").withColumn("dice", dice(F.lit(seed + 1), "doc_id")), "mix-drawn")  # gap has a row for each source asked for
-    need = {r["source"]: abs(r["gap"]) for r in rows.groupBy("source").agg(F.first("gap").alias("gap")).collect()}
-    able = F.when(F.col("gap") > 0, F.col("count") < F.col("cap")).otherwise(F.col("count") > 0)
-    moved = first_by_dice(rows, "source", "doc_id", F.when(able, F.col("tokens")).otherwise(0), need)
-    step = F.when(F.col("first") & able, F.when(F.col("gap") > 0, 1).otherwise(-1)).otherwise(0)
-    return moved.select("doc_id", "source", "tokens", (F.col("count") + step).alias("count"), step.alias("step"))
+    caps = spark.createDataFrame([(r["source"], r["max_repeat"]) for r in wanted], "source string, cap int")
+    drawn = sized.join(F.broadcast(caps), "source").select("doc_id", "source", "tokens", "cap", _uniform(F.lit(seed), "doc_id").alias("u"))
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema.fields}
+    uses = materialize(drawn.mapInArrow(_uses, f"doc_id {kinds['doc_id']}, source string, tokens {kinds['tokens']}, copy_no int, dice long"), "mix-uses")
+    need = {r["source"]: r["aim"] * (1 + 1e-12) for r in wanted}
+    return first_by_dice(uses, "source", ["doc_id", "copy_no"], F.col("tokens"), need).where("first").select("doc_id", "source", "tokens", "copy_no"), wanted, total
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -97,16 +94,15 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, seed: int = 0) ->
     documents: doc_id, source, text; targets: source, target_share, max_repeat.
     The total is the largest at which every source can reach its share.
     """
-    counts, _, _ = _plan(documents, targets, seed)
-    copies = counts.where("count > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "count")).alias("copy_no"))
+    copies, _, _ = _plan(documents, targets, seed)
     return copies.select("doc_id", "source", "copy_no", "tokens", F.xxhash64(F.lit(seed + 2), "doc_id", "copy_no").alias("shuffle_key")).orderBy("shuffle_key", "doc_id", "copy_no")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """By source: target and reached share of all tokens, tokens there and used, documents, the most uses of one, and the share of uses moved after the draw."""
-    counts, wanted, _ = _plan(documents, targets, seed)
+    """By source: target and reached share of all tokens, tokens there and used, documents, and the most uses of one."""
+    copies, wanted, _ = _plan(documents, targets, seed)
     spark = documents.sparkSession
     asked = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeat"], r["documents"], r["tokens"]) for r in wanted], "source string, target_share double, max_repeat int, documents long, tokens_there long")
-    used = counts.groupBy("source").agg(F.sum(F.col("tokens") * F.col("count")).alias("tokens_used"), F.max("count").alias("most_uses"), (F.sum(F.abs("step")) / F.sum("count")).alias("moved_share"))
+    used = copies.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.max("copy_no").alias("most_uses"))
     out = asked.join(used, "source", "left").withColumn("_all", F.sum("tokens_used").over(Window.partitionBy()))
-    return out.select("source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.col("_all")).alias("reached_share"), "max_repeat", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "documents", "tokens_there", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("moved_share", F.lit(0.0)).alias("moved_share"))
+    return out.select("source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.col("_all")).alias("reached_share"), "max_repeat", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "documents", "tokens_there", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"))

@@ -85,7 +85,7 @@ def _plan(items: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, l
 def _drawn(members: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     """(id, stratum) of the members drawn at random, as many by stratum as the plan says."""
     rows = materialize(members.withColumn("dice", dice(F.lit(seed), "id")), "strata-dice")
-    return first_by_dice(rows, "stratum", "id", None, {r["stratum"]: r["drawn"] for r in plan}).where("first").select("id", "stratum")
+    return first_by_dice(rows, "stratum", ["id"], None, {r["stratum"]: r["drawn"] for r in plan}).where("first").select("id", "stratum")
 
 
 _REPORT = "stratum int, gold_category string, subcategory string, expected_modality string, target_rows double, min_rows int, available long"

@@ -106,11 +106,15 @@ def test_encode_corpus(spark):
 
 
 def test_poisson():
-    for rate, cap in ((0.3, 1), (0.5, 3), (2.5, 4), (3.99, 4), (0.0, 2), (8.0, 8), (9.0, 8)):
-        cut = mixing.poisson_thresholds(rate, cap)
-        u = (np.arange(20_000) + 0.5) / 20_000
-        mean = sum((u >= c).mean() for c in cut)
-        assert abs(mean - min(rate, cap)) < 0.01
+    u = (np.arange(20_000) + 0.5) / 20_000
+    rates = np.stack([mixing.entry_rates(u, k) for k in range(1, 40)])
+    assert (np.diff(rates, axis=0) > 0).all()  # a document gains its uses one by one
+    for rate in (0.05, 0.3, 2.5, 8.0):
+        counts = (rates <= rate).sum(0)
+        p = np.exp(-rate)
+        for k in range(12):
+            assert abs((counts == k).mean() - p) < 2e-4
+            p *= rate / (k + 1)
 
 
 def test_mix(spark):
@@ -225,7 +229,7 @@ def test_first_by_dice(spark, monkeypatch):
     rows = [(g, k, rng_w) for g in "abc" for k, rng_w in enumerate(random.Random(ord(g)).choices(range(1, 9), k=300))]
     df = common.materialize(spark.createDataFrame(rows, "g string, k int, w int").withColumn("dice", common.dice("g", "k")), "dice")
     need = {"a": 0, "b": 500, "c": 10_000}
-    got = common.first_by_dice(df, "g", "k", F.col("w"), need).collect()
+    got = common.first_by_dice(df, "g", ["k"], F.col("w"), need).collect()
     assert len(got) == len(rows)
     for g, most in need.items():
         left, mine = most, sorted((r for r in got if r["g"] == g), key=lambda r: r["dice"])
