@@ -168,6 +168,27 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
 
 
+#: A key is hot from this number of rows and this share of all rows on; hot ones are spread over so many salts.
+HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key``; rows of ``left`` under a hot key are spread by the hash of ``by``.
+
+    ``left`` is a table on storage, whose keys are counted; the rows of ``right``
+    under its hot keys are repeated for each salt.
+    """
+    limit = max(HOT_ROWS, left.count() // HOT_SHARE)
+    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key).toArrow()  # fewer than HOT_SHARE rows
+    if not hot.num_rows:
+        return left.join(right, key)
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot).withColumn("_hot", F.lit(True)))
+    many, none = F.array(*[F.lit(i) for i in range(SALTS)]), F.array(F.lit(0))
+    a = left.join(marks, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    b = right.join(marks, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), many).otherwise(none)))
+    return a.drop("_hot").join(b.drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 def class_representatives(df: DataFrame, row_id: str, key: str) -> DataFrame:
     """One row by value of ``key``: that of the least ``row_id``. Only the surplus rows are moved."""
     ids = df.select(row_id, key)

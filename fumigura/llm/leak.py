@@ -4,12 +4,14 @@ Pigeonhole edit matching. Of a passage of ``passage`` characters with at most
 ``errors`` edits, one of ``errors + 1`` stretches must occur unchanged. The
 pieces of all items are shorter than a stretch by less than the step of their
 grid, so that every stretch contains a whole piece wherever the passage begins;
-the corpus is searched for exact piece hits (a bitmap of fixed size first, then
-an equi-join), and for every hit all passages that contain the piece are
-verified: one edit by how far the texts agree on both sides, more by Myers'
-bit-parallel distance over the text around it.
-
-Nulls, empty and short texts (form under one passage) leak nothing and are no
+the corpus is searched for exact piece hits (a bitmap sized from the pieces
+first, then an equi-join), and every hit is verified by Myers' bit-parallel
+distance of a passage that contains the piece to the text around the hit. Of the
+passages it is the one that one edit can reach, which shows by how far the texts
+agree on both sides; for more edits all are tried.
+
+Copies of one text, in the corpus or among the items, are one class until the
+result is written; hot pieces are spread over several tasks. Nulls, empty and short texts (form under one passage) leak nothing and are no
 items. Repeated rows of one id count once. Extra columns are ignored.
 """
 
@@ -22,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import codes, column, comparison_form, materialize, mix64, spread, window_hashes
+from fumigura.llm.common import KeyFilter, codes, column, comparison_form, materialize, salted_join, spread, window_hashes
 
-#: log2 of the bits of the piece bitmap: 8 MB whatever the number of items.
-BITMAP_BITS = 26
 #: Fills an item's context; in no comparison form.
 _PAD = 1
 
-_HIT = "h long, id string, pos int, ctx string"
+#: Of a piece: hash, class of its text and context; of a record with a piece (h is null): its class and id.
+_HIT = "h long, class binary, ctx string, id string"
 
 
 def _contexts(a: np.ndarray, lengths: np.ndarray, owner: np.ndarray, pos: np.ndarray, width: int, side: int, pad: int) -> list[str]:
@@ -44,27 +45,26 @@ def _contexts(a: np.ndarray, lengths: np.ndarray, owner: np.ndarray, pos: np.nda
     return [text[i : i + span] for i in range(0, len(text), span)]
 
 
-def _hits(piece: int, side: int, grid: int, pad: int, bitmap=None):
-    """mapInArrow: (id, text) -> windows of ``piece`` on a grid, of the bitmap's pieces if one is given."""
+def _hits(piece: int, side: int, grid: int, pad: int, wanted: KeyFilter | None = None):
+    """mapInArrow: (id, class, text) -> windows of ``piece`` on a grid, of the wanted pieces if some are, and the records that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
-            ids = column(batch, "id").to_pylist()
-            a, n = codes([comparison_form(t) for t in column(batch, "text").to_pylist()])
+            ids, classes, texts = (column(batch, c).to_pylist() for c in ("id", "class", "text"))
+            nth = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+            of_class = dict(zip(classes, texts, strict=True))
+            a, n = codes([comparison_form(of_class[c]) for c in nth])
             h, owner, pos = window_hashes(a, n, piece)
-            if bits is None:
-                keep = (pos % grid == 0) & (n[owner] >= piece + side)
-            else:
-                slot = h >> np.uint64(64 - BITMAP_BITS)
-                keep = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keep = (pos % grid == 0) & (n[owner] >= piece + side) if wanted is None else wanted.may_hold(h)
             h, owner, pos = h[keep], owner[keep], pos[keep]
+            names = pa.array(list(nth), pa.binary())
             for s in range(0, len(h), 50_000):
                 e = slice(s, s + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[e].view(np.int64)), pa.array([ids[i] for i in owner[e]], pa.string()), pa.array(pos[e].astype(np.int32)), pa.array(_contexts(a, n, owner[e], pos[e], piece, side, pad), pa.string())],
-                    names=["h", "id", "pos", "ctx"],
-                )
+                rows = len(h[e])
+                yield pa.RecordBatch.from_arrays([pa.array(h[e].view(np.int64)), names.take(pa.array(owner[e])), pa.array(_contexts(a, n, owner[e], pos[e], piece, side, pad), pa.string()), pa.nulls(rows, pa.string())], names=["h", "class", "ctx", "id"])
+            found = set(np.unique(owner).tolist())
+            rows = [(c, i) for c, i in dict.fromkeys(zip(classes, ids, strict=True)) if nth[c] in found]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array([c for c, _ in rows], pa.binary()), pa.nulls(len(rows), pa.string()), pa.array([i for _, i in rows], pa.string())], names=["h", "class", "ctx", "id"])
 
     return run
 
@@ -108,7 +108,7 @@ def _reach(i: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(piece: int, side: int, passage: int, errors: int):
-    """mapInArrow: joined hits -> verified (corpus_id, item_id, run, errors)."""
+    """mapInArrow: joined hits -> verified (corpus_class, item_class, run_len, errors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,10 @@ def _verify(piece: int, side: int, passage: int, errors: int):
             run_len = np.where(exact, left + piece + right, 0)
             best = np.full(len(c), errors + 1, np.int64)
             if errors == 1:
-                best[np.maximum(left + right_one, left_one + right) + piece >= passage] = 1
+                ahead = left + piece + right_one >= passage  # from where the texts agree before the piece, or up to where they do after it
+                some = np.flatnonzero((ahead | (left_one + piece + right >= passage)) & exact)
+                first = np.where(ahead, side - left, side + piece + right - passage)[some]
+                best[some] = myers_distances(i[some[:, None], first[:, None] + np.arange(passage)], c[some])
             elif errors:
                 for s in range(side + 1):
                     whole = (i[:, s : s + passage] != _PAD).all(1)
@@ -132,8 +135,8 @@ def _verify(piece: int, side: int, passage: int, errors: int):
             keep = (best <= errors) & exact
             where = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "corpus_id").take(pa.array(where)), column(batch, "item_id").take(pa.array(where)), pa.array(run_len[where].astype(np.int32)), pa.array(best[where].astype(np.int32))],
-                names=["corpus_id", "item_id", "run_len", "errors"],
+                [column(batch, "corpus_class").take(pa.array(where)), column(batch, "item_class").take(pa.array(where)), pa.array(run_len[where].astype(np.int32)), pa.array(best[where].astype(np.int32))],
+                names=["corpus_class", "item_class", "run_len", "errors"],
             )
 
     return run
@@ -150,20 +153,19 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, passage: int = 24, erro
     grid = max(1, stretch // 3)
     piece = stretch - grid + 1
     side = passage - piece
-    spark = corpus.sparkSession
-    pieces = items.where(F.col("text").isNotNull()).select("id", "text").distinct().mapInArrow(_hits(piece, side, grid, _PAD), _HIT)
-    pieces = materialize(pieces, "leak-pieces")
-    slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = pieces.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()  # at most 2^20 rows
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    hits = spread(corpus.where(F.col("text").isNotNull()).select("id", "text")).mapInArrow(_hits(piece, side + errors, 1, 0, shared), _HIT)
-    pairs = hits.select("h", F.col("id").alias("corpus_id"), F.col("ctx").alias("corpus_ctx")).join(pieces.select("h", F.col("id").alias("item_id"), F.col("ctx").alias("item_ctx")), "h").drop("h")
-    found = pairs.mapInArrow(_verify(piece, side, passage, errors), "corpus_id string, item_id string, run_len int, errors int")
-    return found.groupBy("corpus_id", "item_id").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
+    texts = lambda df: df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.unhex(F.md5("text")).alias("class"), "text")
+    pieces = materialize(texts(items).mapInArrow(_hits(piece, side, grid, _PAD), _HIT), "leak-pieces")
+    unique = pieces.where("h is not null").select("h", F.col("class").alias("item_class"), F.col("ctx").alias("item_ctx")).distinct()
+    wanted = KeyFilter(pieces.where("h is not null"), "h")
+    hits = materialize(texts(spread(corpus.select("id", "text"))).mapInArrow(_hits(piece, side + errors, 1, 0, wanted), _HIT), "leak-hits")
+    met = salted_join(hits.where("h is not null").select("h", F.col("class").alias("corpus_class"), F.col("ctx").alias("corpus_ctx")), unique, "h", "corpus_class").drop("h")
+    found = met.mapInArrow(_verify(piece, side, passage, errors), "corpus_class binary, item_class binary, run_len int, errors int")
+    found = found.groupBy("corpus_class", "item_class").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
+    named = lambda df, x: df.where("id is not null").select(F.col("class").alias(f"{x}_class"), F.col("id").alias(f"{x}_id")).distinct()
+    pairs = found.join(named(pieces, "item"), "item_class").join(named(hits, "corpus"), "corpus_class")
+    return pairs.groupBy("corpus_id", "item_id").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
 
 
 def leaked_runs(corpus: DataFrame, items: DataFrame, passage: int = 24) -> DataFrame:
-    """The pairs that share a run of at least ``passage`` characters, exactly checked."""
-    return leaked_passages(corpus, items, passage, 0).where(F.col("run_len") >= passage).select("corpus_id", "item_id")
+    """The pairs that share a run of at least ``passage`` characters: of those the edit matching finds, the unchanged ones."""
+    return leaked_passages(corpus, items, passage).where((F.col("errors") == 0) & (F.col("run_len") >= passage)).select("corpus_id", "item_id")

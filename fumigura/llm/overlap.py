@@ -19,9 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import class_representatives, codes, column, comparison_form, edit_distance_at_most, materialize, mix64, semi_by_key, spread, window_hashes
+from fumigura.llm.common import KeyFilter, class_representatives, codes, column, comparison_form, edit_distance_at_most, materialize, mix64, salted_join, semi_by_key, spread, window_hashes
 
-BITMAP_BITS = 26
 _FORM = "rec_id long, source string, h long, hc long, form string"
 _PIECE = "k long, h long, sketch long, len int, pos int, nth int"
 
@@ -57,11 +56,10 @@ def _sketches(a: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _pieces(tenths: int, of_training: bool, bitmap=None):
+def _pieces(tenths: int, of_training: bool, wanted: KeyFilter | None = None):
     """mapInArrow: (h, form) -> pieces of training forms, or all windows of evaluation forms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             texts, h = column(batch, "form").to_pylist(), column(batch, "h").to_numpy()
             a, n = codes(texts)
@@ -84,9 +82,7 @@ def _pieces(tenths: int, of_training: bool, bitmap=None):
                 who = rows[owner]
                 nth = pos // q
                 if of_training:
-                    keep = (pos % q == 0) & (nth < plan[n[who], 0])
-                    slot = k >> np.uint64(64 - BITMAP_BITS)
-                    keep &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    keep = (pos % q == 0) & (nth < plan[n[who], 0]) & wanted.may_hold(k)
                     k, who, pos, nth = k[keep], who[keep], pos[keep], nth[keep]
                 for s in range(0, len(k), 200_000):
                     e = slice(s, s + 200_000)
@@ -112,22 +108,12 @@ def near_classes(train: DataFrame, val: DataFrame, share: float = 0.10) -> DataF
     spark, tenths = train.sparkSession, round(share * 10_000)
     one_t, one_v = class_representatives(train, "rec_id", "h").select("h", "form"), class_representatives(val, "rec_id", "h").select("h", "form")
     windows = materialize(one_v.mapInArrow(_pieces(tenths, False), _PIECE).drop("nth"), "overlap-windows")
-    slot = F.shiftrightunsigned("k", 64 - BITMAP_BITS)
-    words = windows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("b")).toArrow()  # at most 2^20 rows
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
-    pieces = one_t.mapInArrow(_pieces(tenths, True, spark.sparkContext.broadcast(bitmap.tobytes())), _PIECE).alias("t")
-    v = windows.alias("v")
-    edits = F.floor(F.greatest("t.len", "v.len") * tenths / 10_000)
-    shift, longer = F.col("v.pos") - F.col("t.pos"), F.col("v.len") - F.col("t.len")
-    meets = (
-        (F.col("t.k") == F.col("v.k"))
-        & (F.abs(shift) <= F.col("t.nth"))
-        & (F.abs(longer - shift) <= edits - F.col("t.nth"))
-        & (F.bit_count(F.col("t.sketch").bitwiseXOR(F.col("v.sketch"))) <= edits * 2)
-        & (F.col("t.h") != F.col("v.h"))
-    )
-    pairs = materialize(pieces.join(v, meets).select(F.col("t.h").alias("a"), F.col("v.h").alias("b")).distinct(), "overlap-candidates")
+    pieces = one_t.mapInArrow(_pieces(tenths, True, KeyFilter(windows, "k")), _PIECE)
+    v = windows.select("k", *(F.col(c).alias(f"v_{c}") for c in ("h", "sketch", "len", "pos")))
+    edits = F.floor(F.greatest("len", "v_len") * tenths / 10_000)
+    shift, longer = F.col("v_pos") - F.col("pos"), F.col("v_len") - F.col("len")
+    meets = (F.abs(shift) <= F.col("nth")) & (F.abs(longer - shift) <= edits - F.col("nth")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("v_sketch"))) <= edits * 2) & (F.col("h") != F.col("v_h"))
+    pairs = materialize(salted_join(v, pieces, "k", "v_h").where(meets).select(F.col("h").alias("a"), F.col("v_h").alias("b")).distinct(), "overlap-candidates")
     for split, key in ((train, "a"), (val, "b")):
         keys = materialize(pairs.select(F.col(key).alias("h")).distinct(), "overlap-keys")
         texts = semi_by_key(split.select("h", "form"), keys, "h").groupBy("h").agg(F.min("form").alias("form"))
@@ -149,15 +135,20 @@ def overlaps(train: DataFrame, val: DataFrame, share: float = 0.10) -> DataFrame
 
 
 def overlap_report(train: DataFrame, val: DataFrame, share: float = 0.10) -> DataFrame:
-    """By split and source: records, those equal without letter case to one of the other split, and those near one."""
-    pairs = materialize(overlaps(train, val, share), "overlap-pairs")
+    """By split and source: records, those equal without letter case to one of the other split, and those equal or near one.
+
+    Counted by class of equal forms; no pairs of records are made.
+    """
+    t, v = forms(train, "overlap-train"), forms(val, "overlap-val")
+    pairs = near_classes(t, v, share)
     out = None
-    for split, df, other, key in (("train", train, val, "rec_id_a"), ("val", val, train, "rec_id_b")):
-        f, g = forms(df, "overlap-report"), forms(other, "overlap-report").select("hc").distinct()
-        equal = f.join(g, "hc", "left_semi").select("rec_id").distinct().withColumn("equal", F.lit(1))
-        near = pairs.select(F.col(key).alias("rec_id")).distinct().withColumn("near", F.lit(1))
-        ids = df.select("rec_id", "source").dropDuplicates(["rec_id"])
-        rows = ids.join(equal, "rec_id", "left").join(near, "rec_id", "left")
-        part = rows.groupBy("source").agg(F.count("*").alias("records"), F.count("equal").alias("equal_records"), F.count(F.coalesce("near", "equal")).alias("overlapping_records")).select(F.lit(split).alias("split"), "source", "records", "equal_records", "overlapping_records")
+    for split, df, f, other, key in (("train", train, t, v, "a"), ("val", val, v, t, "b")):
+        equal = other.select("hc").distinct().withColumn("equal", F.lit(1))
+        near = pairs.select(F.col(key).alias("h")).distinct().withColumn("near", F.lit(1))
+        same = other.select("h").distinct().withColumn("same", F.lit(1))
+        marks = f.select("rec_id", "h", "hc").distinct().join(equal, "hc", "left").join(near, "h", "left").join(same, "h", "left")
+        marks = marks.groupBy("rec_id").agg(F.max("equal").alias("equal"), F.max(F.coalesce("near", "same", "equal")).alias("near"))
+        rows = df.select("rec_id", "source").where("rec_id is not null").dropDuplicates(["rec_id"]).join(marks, "rec_id", "left")
+        part = rows.groupBy("source").agg(F.count("*").alias("records"), F.count("equal").alias("equal_records"), F.count("near").alias("overlapping_records")).select(F.lit(split).alias("split"), "source", "records", "equal_records", "overlapping_records")
         out = part if out is None else out.union(part)
     return out

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fumigura.llm import leak, neardup, overlap, unify
+from fumigura.llm import common, leak, neardup, overlap, unify
 from fumigura.llm.common import comparison_form, edit_distance_at_most
 
 PARTS = ["森の奥で", "古い鍵を", "静かに拾って", "町へ向かった", "誰も知らない", "雨の夜に", "彼女は笑い", "塔の上から", "手紙を読んで", "『そうか』と", "言った。", "羽根のように軽い", "ＡＢＣ", "x", "々", "Wien"]
@@ -164,3 +165,29 @@ def test_looks(frame):
     rows = frame([("1", "Ｎｏｖａ"), ("2", "Nova"), ("3", "nova"), ("4", None), ("5", "Nova"), ("2", "Nova")], "id string, text string")
     assert sorted(map(tuple, unify.alike_records(rows).collect())) == [("1", "2"), ("1", "5")]
     assert [r["f"] for r in unify.unify(rows, "text", "f").where(F.col("id") < "4").orderBy("id").collect()][:3] == ["nova"] * 3
+
+
+def test_filter_grows_with_its_keys(frame, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", (8, 30))
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 5000)
+    f = common.KeyFilter(frame([(int(k),) for k in keys], "k long"), "k")  # far more keys than the least number of slots
+    assert f.may_hold(keys.view(np.uint64)).all() and f.may_hold(rng.integers(0, 2**63 - 1, 20_000).view(np.uint64)).mean() < 0.2
+
+
+def test_salted_join(frame, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    left = frame([(1 if i % 3 == 0 else i, i) for i in range(200)], "k long, x int")
+    right = frame([(1, "a"), (1, "b"), (4, "c"), (None, "d")], "k long, y string")
+    got = sorted(map(tuple, common.salted_join(left, right, "k", "x").select("k", "x", "y").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect())) and len(got) > 100
+
+
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_leaks_of_copies(frame, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    stock = "むかしむかしあるところにお爺さんとお婆さんが住んでいました"
+    c = frame([(f"c{i}", f"{i}番目の話。" + stock) for i in range(30)] + [(f"d{i}", stock) for i in range(30)] + [(None, stock), ("e", "短い")], "id string, text string")
+    g = frame([("i1", stock), ("i2", stock), ("i3", None), (None, stock)], "id string, text string")
+    got = leak.leaked_runs(c, g).collect()
+    assert len(got) == 120 and {r["item_id"] for r in got} == {"i1", "i2"}
