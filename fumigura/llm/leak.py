@@ -5,14 +5,17 @@ Pigeonhole edit matching. Of a passage of ``passage`` characters with at most
 pieces of all items are shorter than a stretch by less than the step of their
 grid, so that every stretch contains a whole piece wherever the passage begins;
 the corpus is searched for exact piece hits (a bitmap sized from the pieces
-first, then an equi-join), and every hit is verified by Myers' bit-parallel
-distance of a passage that contains the piece to the text around the hit. Of the
-passages it is the one that one edit can reach, which shows by how far the texts
-agree on both sides; for more edits all are tried.
+first, then an equi-join). Around a hit both sides show one byte a character, by
+which it is seen whether a passage with the edits allowed can contain the piece.
+The pairs of texts that are left are verified whole by Myers' bit-parallel
+distance: of each piece in common the passage that an edit can reach against the
+text around it.
 
 Copies of one text, in the corpus or among the items, are one class until the
-result is written; hot pieces are spread over several tasks. Nulls, empty and short texts (form under one passage) leak nothing and are no
-items. Repeated rows of one id count once. Extra columns are ignored.
+result is written; pieces of very many items are spread over several tasks, those
+of very many records by the adaptive split of skewed joins. Nulls, empty and
+short texts (form under one passage) leak nothing and are no items. Repeated rows
+of one id count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,47 +27,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import KeyFilter, codes, column, comparison_form, materialize, salted_join, spread, window_hashes
+from fumigura.llm.common import KeyFilter, codes, column, comparison_form, expand, materialize, mix64, salted_join, semi_by_key, spread, window_hashes
 
-#: Fills an item's context; in no comparison form.
-_PAD = 1
+#: Fills the context of an item, and that of a record; the bytes of characters are others.
+_PAD, _GAP = 1, 0
+_HIT = "h long, class long, ctx binary"
 
-#: Of a piece: hash, class of its text and context; of a record with a piece (h is null): its class and id.
-_HIT = "h long, class binary, ctx string, id string"
 
-
-def _contexts(a: np.ndarray, lengths: np.ndarray, owner: np.ndarray, pos: np.ndarray, width: int, side: int, pad: int) -> list[str]:
-    """Text from ``side`` before to ``side`` after each window of ``width``, padded to a fixed length."""
-    span = width + 2 * side
+def _contexts(a: np.ndarray, lengths: np.ndarray, owner: np.ndarray, pos: np.ndarray, width: int, side: int, pad: int) -> np.ndarray:
+    """Text from ``side`` before to ``side`` after each window of ``width``, a row for each."""
     start = np.cumsum(lengths) - lengths
-    rel = pos[:, None] - side + np.arange(span)
+    rel = pos[:, None] - side + np.arange(width + 2 * side)
     inside = (rel >= 0) & (rel < lengths[owner][:, None])
-    at = np.where(inside, start[owner][:, None] + rel, 0)
-    m = np.where(inside, a[at], np.uint32(pad)).astype("<u4")
-    text = m.tobytes().decode("utf-32-le")
-    return [text[i : i + span] for i in range(0, len(text), span)]
+    return np.where(inside, a[np.where(inside, start[owner][:, None] + rel, 0)], np.asarray(pad, a.dtype))
+
+
+def _bytes_of(a: np.ndarray) -> np.ndarray:
+    return (2 + (mix64(a.astype(np.uint64)) >> np.uint64(32)) % np.uint64(254)).astype(np.uint8)
 
 
 def _hits(piece: int, side: int, grid: int, pad: int, wanted: KeyFilter | None = None):
-    """mapInArrow: (id, class, text) -> windows of ``piece`` on a grid, of the wanted pieces if some are, and the records that have one."""
+    """mapInArrow: (class, text) -> windows of ``piece`` on a grid, of the wanted pieces if some are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, classes, texts = (column(batch, c).to_pylist() for c in ("id", "class", "text"))
-            nth = {c: k for k, c in enumerate(dict.fromkeys(classes))}
-            of_class = dict(zip(classes, texts, strict=True))
-            a, n = codes([comparison_form(of_class[c]) for c in nth])
+            texts = dict(zip(column(batch, "class").to_pylist(), column(batch, "text").to_pylist(), strict=True))
+            classes = np.array(list(texts), np.int64)
+            a, n = codes([comparison_form(t) for t in texts.values()])
             h, owner, pos = window_hashes(a, n, piece)
             keep = (pos % grid == 0) & (n[owner] >= piece + side) if wanted is None else wanted.may_hold(h)
-            h, owner, pos = h[keep], owner[keep], pos[keep]
-            names = pa.array(list(nth), pa.binary())
+            h, owner, pos, shown = h[keep], owner[keep], pos[keep], _bytes_of(a)
             for s in range(0, len(h), 50_000):
                 e = slice(s, s + 50_000)
-                rows = len(h[e])
-                yield pa.RecordBatch.from_arrays([pa.array(h[e].view(np.int64)), names.take(pa.array(owner[e])), pa.array(_contexts(a, n, owner[e], pos[e], piece, side, pad), pa.string()), pa.nulls(rows, pa.string())], names=["h", "class", "ctx", "id"])
-            found = set(np.unique(owner).tolist())
-            rows = [(c, i) for c, i in dict.fromkeys(zip(classes, ids, strict=True)) if nth[c] in found]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array([c for c, _ in rows], pa.binary()), pa.nulls(len(rows), pa.string()), pa.array([i for _, i in rows], pa.string())], names=["h", "class", "ctx", "id"])
+                ctx = _contexts(shown, n, owner[e], pos[e], piece, side, pad)
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ctx.shape[1]), len(ctx), [None, pa.py_buffer(np.ascontiguousarray(ctx))])
+                yield pa.RecordBatch.from_arrays([pa.array(h[e].view(np.int64)), pa.array(classes[owner[e]]), fixed.cast(pa.binary())], names=["h", "class", "ctx"])
 
     return run
 
@@ -107,35 +104,73 @@ def _reach(i: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return none, np.maximum.reduce([np.cumprod(w & real, 1).sum(1) for w in ways])
 
 
+def _held(c: np.ndarray, i: np.ndarray, piece: int, side: int, passage: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hit: the run in common around the piece, and where in the item's context a passage begins that one edit can reach (or -1)."""
+    at = side + errors  # the corpus shows as many characters more on each side as may be put in
+    exact = (c[:, at : at + piece] == i[:, side : side + piece]).all(1)  # else two pieces of one hash
+    pad = np.full((len(c), 1), _GAP, c.dtype)
+    right, right_one = _reach(i[:, side + piece :], np.concatenate([c[:, at + piece :], pad], 1))
+    left, left_one = _reach(i[:, :side][:, ::-1], np.concatenate([c[:, :at][:, ::-1], pad], 1))
+    ahead, behind = left + piece + right_one >= passage, left_one + piece + right >= passage
+    return np.where(exact, left + piece + right, 0), np.where(exact & ahead, side - left, np.where(exact & behind, side + piece + right - passage, -1))
+
+
+def _near(piece: int, side: int, passage: int, errors: int):
+    """mapInArrow: joined hits -> (corpus_class, item_class) of those a passage may contain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, i = (np.frombuffer(b"".join(column(batch, k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("corpus_ctx", "item_ctx"))
+            run_len, first = _held(c, i, piece, side, passage, errors)
+            keep = run_len >= passage if not errors else first >= 0 if errors == 1 else run_len >= piece
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([column(batch, k).take(at) for k in ("corpus_class", "item_class")], names=["corpus_class", "item_class"])
+
+    return run
+
+
 def _verify(piece: int, side: int, passage: int, errors: int):
-    """mapInArrow: joined hits -> verified (corpus_class, item_class, run_len, errors)."""
+    """mapInArrow: pairs of texts -> verified (corpus_class, item_class, run_len, errors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c, i = (np.frombuffer("".join(column(batch, k).to_pylist()).encode("utf-32-le"), np.uint32).reshape(batch.num_rows, -1) for k in ("corpus_ctx", "item_ctx"))
-            at = side + errors  # the corpus shows as many characters more on each side as may be put in
-            exact = (c[:, at : at + piece] == i[:, side : side + piece]).all(1)  # else two pieces of one hash
-            pad = np.zeros((len(c), 1), np.uint32)
-            right, right_one = _reach(i[:, side + piece :], np.concatenate([c[:, at + piece :], pad], 1))
-            left, left_one = _reach(i[:, :side][:, ::-1], np.concatenate([c[:, :at][:, ::-1], pad], 1))
-            run_len = np.where(exact, left + piece + right, 0)
-            best = np.full(len(c), errors + 1, np.int64)
-            if errors == 1:
-                ahead = left + piece + right_one >= passage  # from where the texts agree before the piece, or up to where they do after it
-                some = np.flatnonzero((ahead | (left_one + piece + right >= passage)) & exact)
-                first = np.where(ahead, side - left, side + piece + right - passage)[some]
-                best[some] = myers_distances(i[some[:, None], first[:, None] + np.arange(passage)], c[some])
-            elif errors:
-                for s in range(side + 1):
-                    whole = (i[:, s : s + passage] != _PAD).all(1)
-                    best[whole] = np.minimum(best[whole], myers_distances(i[whole, s : s + passage], c[whole]))
+            (ac, nc), (ai, ni) = (codes([comparison_form(t) for t in column(batch, k).to_pylist()]) for k in ("corpus_text", "item_text"))
+            (hc, oc, pc), (hi, oi, pi) = window_hashes(ac, nc, piece), window_hashes(ai, ni, piece)
+            kc, ki = mix64(hc ^ mix64(oc.astype(np.uint64))), mix64(hi ^ mix64(oi.astype(np.uint64)))  # a piece of this pair
+            order = np.argsort(ki, kind="stable")
+            lo, hi_ = np.searchsorted(ki[order], kc, "left"), np.searchsorted(ki[order], kc, "right")
+            run_len, best = np.zeros(len(nc), np.int64), np.full(len(nc), errors + 1, np.int64)
+            bounds = np.concatenate([[0], np.cumsum(hi_ - lo)])
+            s = 0
+            while s < len(kc):
+                e = max(s + 1, int(np.searchsorted(bounds, bounds[s] + 50_000, "right")) - 1)
+                mine, theirs = np.repeat(np.arange(s, e), (hi_ - lo)[s:e]), order[expand(lo[s:e], (hi_ - lo)[s:e])]
+                s = e
+                same = oc[mine] == oi[theirs]
+                mine, theirs = mine[same], theirs[same]
+                if not len(mine):
+                    continue
+                c, i = _contexts(ac, nc, oc[mine], pc[mine], piece, side + errors, _GAP), _contexts(ai, ni, oi[theirs], pi[theirs], piece, side, _PAD)
+                runs, first = _held(c, i, piece, side, passage, errors)
+                np.maximum.at(run_len, oc[mine], runs)
+                if errors <= 1:
+                    some = np.flatnonzero(first >= 0)
+                    if len(some):
+                        np.minimum.at(best, oc[mine[some]], myers_distances(i[some[:, None], first[some, None] + np.arange(passage)], c[some]))
+                else:
+                    for x in range(side + 1):
+                        some = np.flatnonzero((i[:, x : x + passage] != _PAD).all(1))
+                        if len(some):
+                            np.minimum.at(best, oc[mine[some]], myers_distances(i[some, x : x + passage], c[some]))
             best[run_len >= passage] = 0
-            keep = (best <= errors) & exact
-            where = np.flatnonzero(keep)
+            where = np.flatnonzero(best <= errors)
+            at = pa.array(where)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "corpus_class").take(pa.array(where)), column(batch, "item_class").take(pa.array(where)), pa.array(run_len[where].astype(np.int32)), pa.array(best[where].astype(np.int32))],
+                [column(batch, "corpus_class").take(at), column(batch, "item_class").take(at), pa.array(run_len[where].astype(np.int32)), pa.array(best[where].astype(np.int32))],
                 names=["corpus_class", "item_class", "run_len", "errors"],
             )
 
@@ -150,19 +185,25 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, passage: int = 24, erro
     counted up to one passage on each side) and errors (fewest edits of a passage).
     """
     stretch = passage // (errors + 1)
-    grid = max(1, stretch // 3)
+    grid = max(1, stretch // 6)
     piece = stretch - grid + 1
     side = passage - piece
-    texts = lambda df: df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.unhex(F.md5("text")).alias("class"), "text")
-    pieces = materialize(texts(items).mapInArrow(_hits(piece, side, grid, _PAD), _HIT), "leak-pieces")
-    unique = pieces.where("h is not null").select("h", F.col("class").alias("item_class"), F.col("ctx").alias("item_ctx")).distinct()
-    wanted = KeyFilter(pieces.where("h is not null"), "h")
-    hits = materialize(texts(spread(corpus.select("id", "text"))).mapInArrow(_hits(piece, side + errors, 1, 0, wanted), _HIT), "leak-hits")
-    met = salted_join(hits.where("h is not null").select("h", F.col("class").alias("corpus_class"), F.col("ctx").alias("corpus_ctx")), unique, "h", "corpus_class").drop("h")
-    found = met.mapInArrow(_verify(piece, side, passage, errors), "corpus_class binary, item_class binary, run_len int, errors int")
-    found = found.groupBy("corpus_class", "item_class").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
-    named = lambda df, x: df.where("id is not null").select(F.col("class").alias(f"{x}_class"), F.col("id").alias(f"{x}_id")).distinct()
-    pairs = found.join(named(pieces, "item"), "item_class").join(named(hits, "corpus"), "corpus_class")
+    corpus, items = (df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("class"), "text") for df in (spread(corpus.select("id", "text")), items))
+    hit = lambda df, x: df.select("h", F.col("class").alias(f"{x}_class"), F.col("ctx").alias(f"{x}_ctx"))
+    pieces = materialize(hit(items.select("class", "text").mapInArrow(_hits(piece, side, grid, _PAD), _HIT), "item"), "leak-pieces")
+    hits = hit(corpus.select("class", "text").mapInArrow(_hits(piece, side + errors, 1, _GAP, KeyFilter(pieces, "h")), _HIT), "corpus")
+    met = salted_join(pieces, hits, "h", "item_class").select("corpus_class", "corpus_ctx", "item_class", "item_ctx")
+    near = materialize(met.mapInArrow(_near(piece, side, passage, errors), "corpus_class long, item_class long").distinct(), "leak-near")
+    full = near
+    for df, x in ((corpus, "corpus"), (items, "item")):
+        keys = materialize(near.select(F.col(f"{x}_class").alias("class")).distinct(), f"leak-{x}-classes")
+        rows = materialize(semi_by_key(df, keys, "class"), f"leak-{x}-texts")
+        texts = rows.groupBy("class").agg(F.first("text").alias("text"))
+        full = full.join(texts.select(F.col("class").alias(f"{x}_class"), F.col("text").alias(f"{x}_text")), f"{x}_class")
+        corpus, items = (rows, items) if x == "corpus" else (corpus, rows)
+    found = full.mapInArrow(_verify(piece, side, passage, errors), "corpus_class long, item_class long, run_len int, errors int")
+    named = lambda df, x: df.select(F.col("class").alias(f"{x}_class"), F.col("id").alias(f"{x}_id")).distinct()
+    pairs = found.join(named(items, "item"), "item_class").join(named(corpus, "corpus"), "corpus_class")
     return pairs.groupBy("corpus_id", "item_id").agg(F.max("run_len").alias("run_len"), F.min("errors").alias("errors"))
 
 
