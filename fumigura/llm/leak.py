@@ -32,6 +32,8 @@ from fumigura.llm.common import KeyFilter, codes, column, comparison_form, expan
 #: Fills the context of an item, and that of a record; the bytes of characters are others.
 _PAD, _GAP = 1, 0
 _HIT = "h long, class long, ctx binary"
+#: Characters of pairs of texts compared at once.
+SLICE = 200_000
 
 
 def _contexts(a: np.ndarray, lengths: np.ndarray, owner: np.ndarray, pos: np.ndarray, width: int, side: int, pad: int) -> np.ndarray:
@@ -46,6 +48,17 @@ def _bytes_of(a: np.ndarray) -> np.ndarray:
     return (2 + (mix64(a.astype(np.uint64)) >> np.uint64(32)) % np.uint64(254)).astype(np.uint8)
 
 
+def _unlike(h: np.ndarray, owner: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """The first of the windows of one text that agree in piece and context: a text that repeats itself has few."""
+    pad = -(ctx.shape[1] * ctx.itemsize) % 8
+    raw = np.ascontiguousarray(ctx).view(np.uint8).reshape(len(ctx), -1)
+    words = np.concatenate([raw, np.zeros((len(ctx), pad), np.uint8)], 1).view(np.uint64) if len(ctx) else np.zeros((0, 1), np.uint64)
+    key = h ^ mix64(owner.astype(np.uint64) + np.uint64(1))
+    for k in range(words.shape[1]):
+        key = mix64(key + words[:, k])
+    return np.sort(np.unique(key, return_index=True)[1])
+
+
 def _hits(piece: int, side: int, grid: int, pad: int, wanted: KeyFilter | None = None):
     """mapInArrow: (class, text) -> windows of ``piece`` on a grid, of the wanted pieces if some are."""
 
@@ -60,8 +73,10 @@ def _hits(piece: int, side: int, grid: int, pad: int, wanted: KeyFilter | None =
             for s in range(0, len(h), 50_000):
                 e = slice(s, s + 50_000)
                 ctx = _contexts(shown, n, owner[e], pos[e], piece, side, pad)
+                one = _unlike(h[e], owner[e], ctx)
+                ctx = ctx[one]
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ctx.shape[1]), len(ctx), [None, pa.py_buffer(np.ascontiguousarray(ctx))])
-                yield pa.RecordBatch.from_arrays([pa.array(h[e].view(np.int64)), pa.array(classes[owner[e]]), fixed.cast(pa.binary())], names=["h", "class", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[e][one].view(np.int64)), pa.array(classes[owner[e][one]]), fixed.cast(pa.binary())], names=["h", "class", "ctx"])
 
     return run
 
@@ -115,6 +130,35 @@ def _held(c: np.ndarray, i: np.ndarray, piece: int, side: int, passage: int, err
     return np.where(exact, left + piece + right, 0), np.where(exact & ahead, side - left, np.where(exact & behind, side + piece + right - passage, -1))
 
 
+def _compared(corpus: list[str], items: list[str], piece: int, side: int, passage: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of forms: the longest run in common (up to ``side`` around a piece), and the least edits of a passage."""
+    run_len, best = np.zeros(len(corpus), np.int64), np.full(len(corpus), errors + 1, np.int64)
+    (ac, nc), (ai, ni) = codes(corpus), codes(items)
+    (hc, oc, pc), (hi, oi, pi) = window_hashes(ac, nc, piece), window_hashes(ai, ni, piece)
+    kc, ki = (h ^ mix64(o.astype(np.uint64) + np.uint64(1)) for h, o in ((hc, oc), (hi, oi)))  # a piece of this pair
+    at_c, at_i = np.flatnonzero(np.isin(kc, ki)), np.flatnonzero(np.isin(ki, kc))
+    ctx_c, ctx_i = _contexts(ac, nc, oc[at_c], pc[at_c], piece, side + errors, _GAP), _contexts(ai, ni, oi[at_i], pi[at_i], piece, side, _PAD)
+    one_c, one_i = _unlike(hc[at_c], oc[at_c], ctx_c), _unlike(hi[at_i], oi[at_i], ctx_i)
+    at_c, at_i, ctx_c, ctx_i = at_c[one_c], at_i[one_i], ctx_c[one_c], ctx_i[one_i]
+    order = np.argsort(ki[at_i], kind="stable")
+    lo, upto = (np.searchsorted(ki[at_i][order], kc[at_c], x) for x in ("left", "right"))
+    bounds = np.concatenate([[0], np.cumsum(upto - lo)])
+    s = 0
+    while s < len(at_c):
+        e = max(s + 1, int(np.searchsorted(bounds, bounds[s] + 50_000, "right")) - 1)
+        mine, theirs = np.repeat(np.arange(s, e), (upto - lo)[s:e]), order[expand(lo[s:e], (upto - lo)[s:e])]
+        s = e
+        same = oc[at_c[mine]] == oi[at_i[theirs]]
+        c, i, pair = ctx_c[mine[same]], ctx_i[theirs[same]], oc[at_c[mine[same]]]
+        runs, first = _held(c, i, piece, side, passage, errors)
+        np.maximum.at(run_len, pair, runs)
+        for x in [first] if errors <= 1 else [np.where((i[:, k : k + passage] != _PAD).all(1), k, -1) for k in range(side + 1)]:
+            some = np.flatnonzero(x >= 0)
+            if len(some):
+                np.minimum.at(best, pair[some], myers_distances(i[some[:, None], x[some, None] + np.arange(passage)], c[some]))
+    return run_len, best
+
+
 def _near(piece: int, side: int, passage: int, errors: int):
     """mapInArrow: joined hits -> (corpus_class, item_class) of those a passage may contain."""
 
@@ -136,36 +180,14 @@ def _verify(piece: int, side: int, passage: int, errors: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            (ac, nc), (ai, ni) = (codes([comparison_form(t) for t in column(batch, k).to_pylist()]) for k in ("corpus_text", "item_text"))
-            (hc, oc, pc), (hi, oi, pi) = window_hashes(ac, nc, piece), window_hashes(ai, ni, piece)
-            kc, ki = mix64(hc ^ mix64(oc.astype(np.uint64))), mix64(hi ^ mix64(oi.astype(np.uint64)))  # a piece of this pair
-            order = np.argsort(ki, kind="stable")
-            lo, hi_ = np.searchsorted(ki[order], kc, "left"), np.searchsorted(ki[order], kc, "right")
-            run_len, best = np.zeros(len(nc), np.int64), np.full(len(nc), errors + 1, np.int64)
-            bounds = np.concatenate([[0], np.cumsum(hi_ - lo)])
+            texts = [[comparison_form(t) for t in column(batch, k).to_pylist()] for k in ("corpus_text", "item_text")]
+            sizes = np.cumsum([len(x) + len(y) for x, y in zip(*texts, strict=True)])
+            run_len, best = np.zeros(len(sizes), np.int64), np.full(len(sizes), errors + 1, np.int64)
             s = 0
-            while s < len(kc):
-                e = max(s + 1, int(np.searchsorted(bounds, bounds[s] + 50_000, "right")) - 1)
-                mine, theirs = np.repeat(np.arange(s, e), (hi_ - lo)[s:e]), order[expand(lo[s:e], (hi_ - lo)[s:e])]
+            while s < len(sizes):
+                e = max(s + 1, int(np.searchsorted(sizes, sizes[s] + SLICE, "right")))
+                run_len[s:e], best[s:e] = _compared(texts[0][s:e], texts[1][s:e], piece, side, passage, errors)
                 s = e
-                same = oc[mine] == oi[theirs]
-                mine, theirs = mine[same], theirs[same]
-                if not len(mine):
-                    continue
-                c, i = _contexts(ac, nc, oc[mine], pc[mine], piece, side + errors, _GAP), _contexts(ai, ni, oi[theirs], pi[theirs], piece, side, _PAD)
-                runs, first = _held(c, i, piece, side, passage, errors)
-                np.maximum.at(run_len, oc[mine], runs)
-                if errors <= 1:
-                    some = np.flatnonzero(first >= 0)
-                    if len(some):
-                        np.minimum.at(best, oc[mine[some]], myers_distances(i[some[:, None], first[some, None] + np.arange(passage)], c[some]))
-                else:
-                    for x in range(side + 1):
-                        some = np.flatnonzero((i[:, x : x + passage] != _PAD).all(1))
-                        if len(some):
-                            np.minimum.at(best, oc[mine[some]], myers_distances(i[some, x : x + passage], c[some]))
             best[run_len >= passage] = 0
             where = np.flatnonzero(best <= errors)
             at = pa.array(where)
