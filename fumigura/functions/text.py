@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,20 +48,35 @@ def rubies(c: Column) -> Column:
 
 
 def body(c: Column) -> Column:
-    """Text between the second rule of dashes and the colophon; the whole text where there is none.
+    """Text between the second rule of dashes and the colophon; the whole text where there is none. Null stays null."""
+    lines = F.transform(F.split(c, r"\r?\n"), lambda x, i: F.struct(x.alias("line"), strip(x).alias("s"), i.alias("i")))
+    second = F.try_element_at(F.filter(lines, lambda x: x["s"].startswith("-------")), F.lit(2))["i"]
+    after = F.slice(lines, second + 2, F.greatest(F.size(lines), F.lit(1)))
+    stop = F.try_element_at(F.filter(after, lambda x: x["s"].startswith("底本：") | x["s"].startswith("［＃本文終わり］")), F.lit(1))["i"]
+    kept = F.filter(F.slice(after, 1, F.coalesce(stop - second - 1, F.size(lines))), lambda x: ~x["s"].startswith("-------"))
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(c)
 
-    One fold over the lines; null stays null.
+
+#: Elements folded at once: appending to an array copies it.
+BLOCK = 256
+
+
+def placed(parts: Column, width: Callable[[Column], Column], keep: Callable[[Column], Column], make: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``make(part, start)`` of the parts to ``keep``, where ``start`` is the sum of the widths before.
+
+    Folded block by block: the arrays that grow stay short, and the work in proportion to the parts.
     """
-    lines = F.transform(F.split(c, r"\r?\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("s")))
-    start = F.struct(F.lit(0).alias("dashes"), F.lit(False).alias("ended"), F.array().cast("array<string>").alias("kept"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK)), lambda b: F.slice(parts, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+    # parts is evaluated once, into the blocks; their starts come from the sums of their widths
+    sized = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda n, x: n + width(x)).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        dash = x["s"].startswith("-------")
-        stop = acc["ended"] | ((acc["dashes"] >= 2) & ~dash & (x["s"].startswith("底本：") | x["s"].startswith("［＃本文終わり］")))
-        keep = (acc["dashes"] >= 2) & ~dash & ~stop
-        return F.struct((acc["dashes"] + dash.cast("int")).alias("dashes"), stop.alias("ended"), F.when(keep, F.concat(acc["kept"], F.array(x["line"]))).otherwise(acc["kept"]).alias("kept"))
+    def within(block: Column, at: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + width(x)).alias("at"), F.when(keep(x), F.concat(acc["out"], F.array(make(x, acc["at"])))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(lines, start, step, lambda acc: F.when(F.size(acc["kept"]) > 0, F.array_join(acc["kept"], "\n")).otherwise(c))
+    nested = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    done = F.aggregate(sized, nested, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.concat(acc["out"], F.array(within(b["b"], acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(parts) > 0, done).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def expand_repetition(c: Column) -> Column:
@@ -85,17 +101,11 @@ def find_spans(c: Column, pattern: str) -> Column:
     between can't match as a whole, as no match begins at its first character.
     Texts without a match are passed over by a plain search.
     """
-    kind = "array<struct<start:int,end:int,text:string>>"
+    kind = "struct<start:int,end:int,text:string>"
     parts = F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|(?:(?!{pattern}).)+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        to = acc["at"] + F.length(x)
-        hit = F.array(F.struct(acc["at"].alias("start"), to.alias("end"), x.alias("text")))
-        return F.struct(to.alias("at"), F.when(x.rlike(rf"(?s)\A(?:{pattern})\z"), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(c.isNull(), F.lit(None).cast(kind)).when(c.rlike(f"(?s){pattern}"), found).otherwise(F.array().cast(kind))
+    hit = lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("text"))
+    found = placed(parts, F.length, lambda x: x.rlike(rf"(?s)\A(?:{pattern})\z"), hit, kind)
+    return F.when(c.isNull(), F.lit(None).cast(f"array<{kind}>")).when(c.rlike(f"(?s){pattern}"), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def sentence_spans(c: Column) -> Column:

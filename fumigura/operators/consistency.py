@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fumigura.sources.io import kept
+
 
 def lifetime_violations(events: DataFrame, lives: DataFrame) -> DataFrame:
     """Events of (entity, at) outside the entity's [born, died]; open ends are null."""
@@ -33,15 +35,48 @@ def speed_violations(visits: DataFrame, most: float) -> DataFrame:
     return moved.where(F.col("speed") > most)
 
 
-def cycles(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """Nodes of (src, dst) that reach themselves within ``depth`` steps."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("fumigura_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(node, at, n) AS (
-          SELECT src, dst, 1 FROM fumigura_edges
-          UNION ALL SELECT r.node, e.dst, r.n + 1 FROM reach r JOIN fumigura_edges e ON r.at = e.src WHERE r.at <> r.node AND r.n < {depth})
-        SELECT node, min(n) AS steps FROM reach WHERE at = node GROUP BY node""")
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, steps): nodes of (src, dst) that reach themselves, and in how many steps at least.
+
+    A frontier of pairs not reached before is carried on until none is left, so
+    cycles of any length are found and no path is walked twice. Nodes that
+    nothing leads to, or that lead nowhere, are taken out first.
+    """
+    edges = kept(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+    size = edges.count()
+    while True:
+        ends = edges.select("src").intersect(edges.select("dst")).withColumnRenamed("src", "node")
+        edges = kept(edges.join(ends, F.col("src") == F.col("node"), "left_semi").join(ends, F.col("dst") == F.col("node"), "left_semi"), "edges")
+        before, size = size, edges.count()
+        if size == before:
+            break
+    frontier = kept(edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.lit(1).alias("steps")), "frontier")
+    seen, n = [frontier], 1
+    while not frontier.isEmpty():
+        n += 1
+        old = seen[0]
+        for f in seen[1:]:
+            old = old.union(f)
+        ahead = frontier.where("at <> node").join(edges, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at")).distinct()
+        frontier = kept(ahead.join(old, ["node", "at"], "left_anti").withColumn("steps", F.lit(n)), "frontier")
+        seen.append(frontier)
+        if len(seen) > 8:
+            seen = [kept(old.union(frontier), "reached")]
+    every = seen[0]
+    for f in seen[1:]:
+        every = every.union(f)
+    return every.where("at = node").groupBy("node").agg(F.min("steps").alias("steps"))
+
+
+def deadlocks(needs: DataFrame) -> DataFrame:
+    """(node) of (node, needed): what can't happen, as it needs itself or something that does: a fixed point backwards from the cycles."""
+    edges = kept(needs.select("node", "needed").distinct(), "needs")
+    stuck = kept(cycles(edges.select(F.col("node").alias("src"), F.col("needed").alias("dst"))).select("node"), "stuck")
+    new = stuck
+    while not new.isEmpty():
+        new = kept(edges.join(new.withColumnRenamed("node", "needed"), "needed", "left_semi").select("node").distinct().join(stuck, "node", "left_anti"), "stuck")
+        stuck = kept(stuck.union(new), "stuck")
+    return stuck
 
 
 def undefined_references(texts: DataFrame, known: DataFrame) -> DataFrame:

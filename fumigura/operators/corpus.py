@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from fumigura.functions import text as T
 
-#: Bytes of guard texts up to which they are sent to every task; above, they are searched in blocks of this size.
-GUARD_BYTES = 16 << 20
+#: Bytes of guard texts up to which they are sent to every task; larger guards are joined.
+GUARD_BYTES = 4 << 20
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,42 +41,59 @@ def exact_leaks(df: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _matcher(guard: list[str], both_ways: bool):
+    """mapInArrow: rows whose text holds a guard text; both ways: or lies within one. Two automata, each linear in what it reads."""
     import ahocorasick
 
+    def automaton(words: list[str]):
+        out = ahocorasick.Automaton()
+        for w in words:
+            out.add_word(w, w)
+        out.make_automaton()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = ahocorasick.Automaton()
-        for g in guard:
-            search.add_word(g, True)
-        search.make_automaton()
-        block = "\0".join(guard)
+        search, block = automaton(guard), "\0".join(guard)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = [t is not None and (next(search.iter(t), None) is not None or (both_ways and t.strip() != "" and t.strip() in block)) for t in texts]
+            keep = [t is not None and next(search.iter(t), None) is not None for t in texts]
+            left = {t.strip() for t, k in zip(texts, keep, strict=True) if both_ways and t is not None and not k} - {""}
+            if left:
+                within = {w for _, w in automaton(sorted(left)).iter(block)}
+                keep = [k or (t is not None and t.strip() in within) for t, k in zip(texts, keep, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _anchored(df: DataFrame, phrases: DataFrame, least: int, both_ways: bool) -> DataFrame:
+    """The same by equi-joins on the hash of a stretch of ``least`` characters, for guards of any size."""
+    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(least)))))
+    head = F.xxhash64(F.left("phrase", F.lit(least)))
+    long = df.where(F.length("text") >= least).select("*", F.explode(windows(F.col("text"))).alias("_a"))
+    found = long.join(phrases.select("phrase", head.alias("_a")), "_a").where(F.col("text").contains(F.col("phrase"))).select(*df.columns)
+    if both_ways:
+        rows = df.withColumn("_t", T.strip(F.col("text"))).where("_t <> ''")
+        parts = phrases.select("phrase", F.explode(windows(F.col("phrase"))).alias("_a"))
+        inner = rows.where(F.length("_t") >= least).withColumn("_a", F.xxhash64(F.left("_t", F.lit(least)))).join(parts, "_a").where(F.col("phrase").contains(F.col("_t")))
+        sizes = F.explode(F.sequence(F.lit(1), F.lit(least - 1))).alias("_n")
+        pieces = phrases.select("phrase", sizes).select(F.explode(F.expr("array_distinct(transform(sequence(1, length(phrase) - _n + 1), i -> substring(phrase, i, _n)))")).alias("_t")).distinct()
+        short = rows.where(F.length("_t") < least).join(pieces, "_t", "left_semi")
+        found = found.union(inner.select(*df.columns)).union(short.select(*df.columns))
+    return found.distinct()
+
+
 def substring_leaks(df: DataFrame, guard: DataFrame, least: int, both_ways: bool) -> DataFrame:
     """Rows of ``df`` (id, text) that hold a guard phrase of ``least`` characters or more, or lie within one.
 
-    All phrases are sought at once by an automaton. They are sent to the tasks
-    in blocks of at most GUARD_BYTES, and each block passes over the rows.
+    A guard of up to GUARD_BYTES is sought at once by an automaton in one pass;
+    a larger one is joined on stretches of ``least`` characters.
     """
-    found = None
     phrases = guard.where(F.length("phrase") >= least).select("phrase").distinct()
-    block, size = [], 0
-    blocks = [block]
-    for row in phrases.toLocalIterator():
-        if size > GUARD_BYTES:
-            block, size = [], 0
-            blocks.append(block)
-        block.append(row["phrase"])
-        size += 3 * len(row["phrase"])
-    for b in blocks:
-        part = df.mapInArrow(_matcher(b, both_ways), df.schema) if b else df.limit(0)
-        found = part if found is None else found.union(part)
-    return found.distinct() if len(blocks) > 1 else found
+    size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0]
+    if size > GUARD_BYTES:
+        return _anchored(df, phrases, least, both_ways)
+    words = [r["phrase"] for r in phrases.collect()]  # GUARD_BYTES at most
+    return df.mapInArrow(_matcher(words, both_ways), df.schema) if words else df.limit(0)
 
 
 def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -86,6 +103,68 @@ def first_wins(df: DataFrame, key: Column, *order: str) -> DataFrame:
     return best.select(*[F.col("r")[c].alias(c) for c in cols])
 
 
+def keep_parts(df: DataFrame, group: str, part: str, n: int) -> DataFrame:
+    """Whole parts of each group as long as the parts before hold fewer than ``n`` rows: the last one may overshoot."""
+    sizes = df.groupBy(group, part).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sizes.withColumn("_before", before).where(F.col("_before") < n).select(group, part)
+    return df.join(kept, [group, part], "left_semi")
+
+
+def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of a total order: partial top-k by task, then one merge."""
+    return df.orderBy(*order).limit(n)
+
+
+def numbered(df: DataFrame, group: str, key: str, name: str, parts: int = 64) -> DataFrame:
+    """Rows numbered from 0 by group in the order of ``key``, as ``name``; no group is sorted in one task.
+
+    Keys are cut into ranges by sampled quantiles (which only balance the work);
+    rows are numbered within a range, after the rows of the ranges before.
+    """
+    cuts = df.select(key).distinct().stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001) if df.schema[key].dataType.typeName() != "string" else []
+    cuts = sorted(set(cuts))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    rows = df.withColumn("_part", place)
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(group, "_part").agg(F.count("*").alias("_rows")).withColumn("_start", before).select(group, "_part", "_start")
+    inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key))
+    return rows.withColumn("_n", inner).join(starts, [group, "_part"]).withColumn(name, F.col("_start") + F.col("_n") - 1).drop("_part", "_n", "_start")
+
+
+def kinds_of_brackets(line: Column) -> Column:
+    """array<string>: a line cut before and after each 「…」, 『…』 and （…）."""
+    q = "「[^」]*」|『[^』]*』|（[^）]*）"
+    return F.regexp_extract_all(line, F.lit(f"(?s){q}|(?:(?!{q}).)+"), F.lit(0))
+
+
+def bracketed_segments(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Like ``segments`` with round brackets as a third kind: key, line_no, part_no, sent_no, segment, kind (dialogue, monologue, narrative)."""
+    lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).where(~T.is_blank(F.col("line")))
+    parts = lines.select(key, "line_no", F.posexplode(F.filter(kinds_of_brackets(T.strip(F.col("line"))), lambda p: p.rlike(r"(?U)\S"))).alias("part_no", "part"))
+    part = T.strip(F.col("part"))
+    kind = F.when(part.rlike("^(?:「.*」|『.*』)$"), "dialogue").when(part.rlike("^（.*）$"), "monologue").otherwise("narrative")
+    pieces = F.when(kind != "narrative", F.array(part)).otherwise(T.sentences(part))
+    out = parts.select(key, "line_no", "part_no", kind.alias("kind"), F.posexplode(pieces).alias("sent_no", "segment"))
+    return out.select(key, "line_no", "part_no", "sent_no", T.strip(F.col("segment")).alias("segment"), "kind")
+
+
+def dialogue_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines cut at 。: key, line_no, sent_no, sentence, is_dialogue. A line that begins with 「 is dialogue; its sentences get 」 back, others 。."""
+    lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).select(key, "line_no", T.strip(F.col("line")).alias("line")).where("line <> ''")
+    spoken = F.col("line").startswith("「")
+    parts = F.filter(F.transform(F.split("line", "。"), lambda s: T.strip(s)), lambda s: ~s.isin("", "」"))
+    ended = lambda s: F.when(s.endswith("」"), s).when(spoken, F.concat(s, F.lit("」"))).otherwise(F.concat(s, F.lit("。")))
+    out = lines.select(key, "line_no", spoken.alias("is_dialogue"), F.posexplode(F.transform(parts, ended)).alias("sent_no", "sentence"))
+    return out.select(key, "line_no", "sent_no", "sentence", "is_dialogue")
+
+
+def first_seen_counts(df: DataFrame, category: str, order: str) -> DataFrame:
+    """Counts by category with the place of each in the order of first occurrence."""
+    counts = df.groupBy(category).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy("_first", category))).drop("_first")
+
+
 def ranked_union(parts: list[DataFrame]) -> DataFrame:
     """All parts under each other, with the place of each as ``src_rank``."""
     out = None

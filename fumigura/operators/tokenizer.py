@@ -2,7 +2,8 @@
 
 The ways a character can be found in the vocabulary (itself, a variant, its
 compatibility form, a character of that form) are worked out once per distinct
-character of the corpus; the corpus itself is then encoded by a map lookup.
+character of the corpus; the corpus itself is then encoded in a projection that
+puts a stand-in for each character and reads the ids off those.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from fumigura.functions import text as T
 # Special tokens, first in the vocabulary.
 SPECIAL = ["[PAD]", "[UNK]", "[BOS]", "[EOS]", "[MASK]", "[SEP]", "[CLS]", "[RSV]"]
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
-#: Entries of a vocabulary that may be carried as a literal map.
-MAP_LIMIT = 70_000
+#: Code point of the stand-in for id 0; ids have 16 bits, so that stand-ins are code points of the last plane.
+STAND_IN, MAP_LIMIT = 0x100000, 65_000
 
 
 def vocabulary(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -61,18 +62,33 @@ def char_table(chars: DataFrame, vocab: dict[str, int], variants: dict[str, str]
 
 
 def encode(df: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
-    """(key, ids): one id per code point, by one join on the character; empty texts have no ids."""
-    chars = df.select(key, F.posexplode_outer(T.chars(F.col(text))).alias("pos", "ch"))
-    joined = chars.join(table, "ch", "left")
-    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("ch").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))))), lambda s: s["id"])
-    return joined.groupBy(key).agg(ids.alias("ids"))
+    """(key, ids): one id per code point; empty and null texts have no ids.
+
+    ``table`` has a row for each distinct character at most (there are fewer than
+    200,000), which go into the plan; nothing is shuffled.
+    """
+    ids = {r["ch"]: r["token_id"] for r in table.collect() if r["ch"]}
+    stands = F.translate(text, "".join(ids), "".join(chr(STAND_IN + i) for i in ids.values())) if ids else F.col(text)
+    known = lambda c: F.when(F.ascii(c) >= STAND_IN, F.ascii(c) - STAND_IN).otherwise(UNK)
+    return df.select(key, F.coalesce(F.transform(T.chars(stands), known), F.array().cast("array<int>")).alias("ids"))
 
 
 def offsets(text: Column) -> Column:
     """array<struct<ch, codepoint_start, utf16_start>> of the characters."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<ch:string,codepoint_start:int,utf16_start:int>>").alias("out"))
-    step = lambda acc, ch: F.struct((acc["at"] + T.utf16_width(ch)).alias("at"), F.concat(acc["out"], F.array(F.struct(ch.alias("ch"), F.size(acc["out"]).alias("codepoint_start"), acc["at"].alias("utf16_start")))).alias("out"))
-    return F.aggregate(T.chars(text), start, step, lambda acc: acc["out"])
+    kind = "struct<ch:string,utf16_start:int>"
+    at = T.placed(T.chars(text), T.utf16_width, lambda ch: F.lit(True), lambda ch, n: F.struct(ch.alias("ch"), n.alias("utf16_start")), kind)
+    return F.transform(at, lambda x, i: F.struct(x["ch"].alias("ch"), i.alias("codepoint_start"), x["utf16_start"].alias("utf16_start")))
+
+
+def to_code_point(starts: Column, utf16: Column) -> Column:
+    """The character that holds the UTF-16 unit, by the array ``offsets`` gives; clamped to the text, 0 if it is empty."""
+    return F.greatest(F.size(F.filter(starts, lambda x: x["utf16_start"] <= utf16)) - 1, F.lit(0))
+
+
+def to_utf16(starts: Column, code_point: Column) -> Column:
+    """The first UTF-16 unit of the character at ``code_point``, clamped to the text; 0 if it is empty."""
+    at = F.least(F.greatest(code_point, F.lit(0)), F.size(starts) - 1)
+    return F.coalesce(F.get(starts, at)["utf16_start"], F.lit(0))
 
 
 def decode(ids: Column, vocab: Column) -> Column:

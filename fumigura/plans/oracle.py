@@ -225,6 +225,6 @@ def oracle_sql() -> dict[str, str]:
         "simultaneous_presence": """WITH e AS (SELECT DISTINCT user_id AS entity, event_type AS place, floor(epoch(ts))::BIGINT AS s FROM events)
           SELECT DISTINCT a.entity, a.place, a.s AS start, b.place AS other_place FROM e a JOIN e b ON a.entity = b.entity AND a.place <> b.place AND b.s <= a.s AND a.s < b.s + 5400""",
         "speed_violations": """WITH m AS (SELECT user_id AS entity, event_id AS event_at, abs(value - lag(value) OVER w) / nullif(event_id - lag(event_id) OVER w, 0) AS speed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT entity, event_at, round(speed, 6) AS speed FROM m WHERE speed > 2.0""",
-        "causal_cycles": """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation), reach AS (SELECT src AS node, dst AS there, 1 AS n FROM e UNION ALL SELECT r.node, e.dst, r.n + 1 FROM reach r JOIN e ON r.there = e.src WHERE r.there <> r.node AND r.n < 16)
+        "causal_cycles": """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation), reach AS (SELECT src AS node, dst AS there, 1 AS n FROM e UNION ALL SELECT r.node, e.dst, r.n + 1 FROM reach r JOIN e ON r.there = e.src WHERE r.there <> r.node  AND r.n <= 25)
           SELECT node, min(n)::INT AS steps FROM reach WHERE there = node GROUP BY node""",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fumigura.functions import text as T
 from fumigura.operators import anaphora, annotate, consistency, corpus, evaluate, events, generate, lint, modality, normalizer, pas, pov, tokenizer, vectors
-from fumigura.sources.io import digest, distinct_rows, table
+from fumigura.sources.io import digest, distinct_rows, embedded_lines, run_history, stats_json, table
 from fumigura.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,17 +178,15 @@ def source_cap(s, d):
 
 @query
 def numbered_ids(s, d):
-    from pyspark.sql.window import Window
-
     rows = table(s, d, "train_v15_1m", "rec_id", "source").where("source is not null").distinct()
-    return rows.select("rec_id", "source", F.format_string("%s_%07d", "source", F.row_number().over(Window.partitionBy("source").orderBy("rec_id")) - 1).alias("new_id"))
+    return corpus.numbered(rows, "source", "rec_id", "n").select("rec_id", "source", F.format_string("%s_%07d", "source", "n").alias("new_id"))
 
 
 @query
 def split_90_10(s, d):
     ids = table(s, d, "train_v15_1m", "rec_id").distinct()
-    cut = F.broadcast(evaluate.nearest_rank(ids, "rec_id", [0.9]))  # one row
-    return ids.join(cut, F.lit(True)).select("rec_id", F.when(F.col("rec_id") < F.col("value"), "train").otherwise("val").alias("split"))
+    n = ids.count()
+    return corpus.numbered(ids.withColumn("all", F.lit(0)), "all", "rec_id", "k").select("rec_id", F.when(F.col("k") < n * 9 // 10, "train").otherwise("val").alias("split"))
 
 
 @query

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip as gz
 import json
+import tempfile
+import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +27,24 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.repartition(n, *df.columns).distinct()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only in local mode, where none is set."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="fumigura-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back: cuts the lineage of iterations."""
+    path = f"{shared_dir(df.sparkSession)}/fumigura-core/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text) of whole text files; files that vanish meanwhile are left out."""
     return spark.read.option("ignoreMissingFiles", "true").text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -48,6 +71,29 @@ def json_lines(spark: SparkSession, schema: T.StructType | str, *paths: str) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(list(paths))
 
 
+def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """Nulls of missing keys replaced by the default of their column."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def embedded_lines(df: DataFrame, key: str, packed: str) -> DataFrame:
+    """(key, line_no, line) of texts embedded as base64 of gzip; nulls and what isn't such a text have no lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                try:
+                    out.append(gz.decompress(base64.b64decode(x, validate=True)).decode("utf-8"))
+                except (ValueError, OSError, EOFError, TypeError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    texts_ = df.select(F.col(key).alias("key"), packed).mapInArrow(run, f"key {kind}, text string")
+    return texts_.select(F.col("key").alias(key), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
+
+
 def write_json_lines(df: DataFrame, path: str, gzip: bool = False) -> None:
     """JSON lines with nulls kept and letters as they are."""
     df.write.option("ignoreNullFields", "false").option("compression", "gzip" if gzip else "none").json(path)
@@ -61,7 +107,27 @@ def digest(df: DataFrame) -> DataFrame:
     return sums.select("rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(5)]), 256).alias("digest"))
 
 
-def manifest(df: DataFrame, **extra) -> str:
-    """JSON of counts and digest, as written beside a data set."""
+def manifest(df: DataFrame, seed: int | None = None, path: str | None = None, **extra) -> str:
+    """JSON of a data set: rows, digest, seed, bytes of its files (of ``path``, if given), seconds taken to count it, and what else is named."""
+    began = time.monotonic()
     row = digest(df).first()
-    return json.dumps({"rows": row["rows"], "digest": row["digest"], **extra}, ensure_ascii=False, sort_keys=True)
+    size = None
+    if path:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    facts = {"rows": row["rows"], "digest": row["digest"], "seed": seed, "bytes": size, "elapsed": round(time.monotonic() - began, 3), **extra}
+    return json.dumps({k: v for k, v in facts.items() if v is not None}, ensure_ascii=False, sort_keys=True)
+
+
+def stats_json(df: DataFrame, category: str, flag: str) -> DataFrame:
+    """One row ``stats``: JSON of rows, flagged rows, their ratio (four places) and the counts by category in the order of names."""
+    by = df.groupBy(category).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("k"))
+    all_ = by.agg(F.sum("n").alias("total"), F.sum("k").alias("flagged"), F.array_sort(F.collect_list(F.struct(F.coalesce(category, F.lit("")).alias("name"), "n"))).alias("categories"))  # a row for each category
+    return all_.select(F.to_json(F.struct("total", "flagged", F.round(F.col("flagged") / F.col("total"), 4).alias("ratio"), "categories")).alias("stats"))
+
+
+def run_history(runs: DataFrame, run: str, at: str, *measures: str) -> DataFrame:
+    """(run, history): the measures of each run as JSON, in the order of ``at``."""
+    rows = F.array_sort(F.collect_list(F.struct(at, *measures)))  # the steps of one run
+    return runs.groupBy(run).agg(F.to_json(rows).alias("history"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fumigura.operators import events as E
+from fumigura.sources.io import shared_dir
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +74,7 @@ def bounded(stream: DataFrame, key: str, order: str, capacity: int) -> DataFrame
 def drained(stream: DataFrame, out: str | None = None) -> DataFrame:
     """All that the stream has now, written in micro-batches and read back as a table."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fumigura-")
-    path = out or f"{root.rstrip('/')}/fumigura-stream/{uuid.uuid4().hex}"
+    path = out or f"{shared_dir(spark)}/fumigura-stream/{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
