@@ -13,6 +13,11 @@ from fumigura import profiles as P
 ENDS = "。！？!"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: a name in a lambda would be worked out anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed, the ideographic space too."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -47,6 +52,12 @@ def rubies(c: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("base"), F.regexp_extract_all(c, pattern, 2).alias("reading"))
 
 
+def escaped_rubies(c: Column) -> Column:
+    """array<struct<base, reading>> of the rubies whose base a bar marks."""
+    pattern = F.lit(r"｜([^《\n]+)《([^》\n]+)》")
+    return F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("base"), F.regexp_extract_all(c, pattern, 2).alias("reading"))
+
+
 def body(c: Column) -> Column:
     """Text between the second rule of dashes and the colophon; the whole text where there is none. Null stays null."""
     lines = F.transform(F.split(c, r"\r?\n"), lambda x, i: F.struct(x.alias("line"), strip(x).alias("s"), i.alias("i")))
@@ -185,6 +196,13 @@ def particle_target(c: Column, start: Column) -> Column:
     return F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise(F.substring(c, four + 1, start - four))
 
 
+def code_units(c: Column) -> Column:
+    """The text's UTF-16 code units as numbers."""
+    n = F.ascii
+    pair = lambda ch: F.array(F.shiftright(n(ch) - 0x10000, 10) + 0xD800, (n(ch) - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+    return F.flatten(F.transform(chars(c), lambda ch: F.when(n(ch) > 0xFFFF, pair(ch)).otherwise(F.array(n(ch)))))
+
+
 def occurrences(c: Column, word: str) -> Column:
     """Start of every occurrence of ``word``, not overlapping itself."""
     return F.transform(find_spans(c, re.escape(word)), lambda s: s["start"])

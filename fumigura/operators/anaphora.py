@@ -61,3 +61,11 @@ def missing_slots(filled: Column, mandatory: list[str]) -> Column:
 def incomplete_score(raw: Column, missing: Column, zero: Column) -> Column:
     """A sentence's score lowered by empty mandatory slots."""
     return F.when(missing == 0, raw).otherwise(raw * F.greatest(F.lit(0.1), 1 - (0.2 * missing + 0.3 * zero)))
+
+
+def incomplete(asked: DataFrame, entities: DataFrame, missing: Column) -> DataFrame:
+    """Queries with the likelihood of an omission (the best antecedent's; .8 without one where a slot is empty), whether they are incomplete, and a score of 1 lowered accordingly."""
+    best = ranked(candidates(asked, entities), asked.columns).where("rank = 1").select(*asked.columns, "likelihood")
+    rows = asked.join(best, asked.columns, "left").withColumn("missing", missing)
+    zero = F.coalesce("likelihood", F.when(F.col("missing") > 0, 0.8).otherwise(0.0))
+    return rows.select(*asked.columns, "missing", zero.alias("zero"), ((F.col("missing") > 0) | F.col("likelihood").isNotNull()).alias("is_incomplete"), incomplete_score(F.lit(1.0), F.col("missing"), zero).alias("score"))

@@ -52,9 +52,8 @@ def action_spans(text: Column) -> Column:
 def action_labels(text: Column) -> Column:
     """array<int> of actions by character."""
     n = F.least(F.length(text), F.lit(MAX_LENGTH))
-    spans = action_spans(text)
-    last = lambda i: F.coalesce(F.try_element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(-1))["action"], F.lit(0))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), last))
+    last = lambda spans, i: F.coalesce(F.try_element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(-1))["action"], F.lit(0))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(T.let(action_spans(text), lambda spans: F.transform(F.sequence(F.lit(0), n - 1), lambda i: last(spans, i))))
 
 
 def entity_spans(text: Column) -> Column:
@@ -64,13 +63,12 @@ def entity_spans(text: Column) -> Column:
 def entity_labels(text: Column) -> Column:
     """array<int>: 1 begins an entity, 2 is inside, 3 ends it, 0 else."""
     n = F.least(F.length(text), F.lit(MAX_LENGTH))
-    spans = entity_spans(text)
 
-    def label(i: Column) -> Column:
+    def label(spans: Column, i: Column) -> Column:
         s = F.try_element_at(F.filter(spans, lambda s: (i >= s["start"]) & (i < s["end"])), F.lit(-1))
         return F.when(s.isNull(), 0).when(i == s["start"], 1).when(i == F.least(s["end"], n) - 1, 3).otherwise(2)
 
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), label))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(T.let(entity_spans(text), lambda spans: F.transform(F.sequence(F.lit(0), n - 1), lambda i: label(spans, i))))
 
 
 def dependency_labels(text: Column) -> Column:
@@ -82,8 +80,8 @@ def dependency_labels(text: Column) -> Column:
         return F.transform(T.occurrences(text, p), lambda at: F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(4 if p == "が" else 5).alias("label")))
 
     marks = F.filter(F.concat(*[marked(p, i) for i, p in enumerate(P.CASES)]), lambda s: s["at"] < n)
-    last = lambda i: F.array_max(F.transform(F.filter(marks, lambda s: s["at"] == i), lambda s: F.struct(s["rank"], s["label"])))["label"]
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(last(i), F.when(i == root, 1).otherwise(2))))
+    last = lambda marks, i: F.array_max(F.transform(F.filter(marks, lambda s: s["at"] == i), lambda s: F.struct(s["rank"], s["label"])))["label"]
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(T.let(marks, lambda marks: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(last(marks, i), F.when(i == root, 1).otherwise(2)))))
 
 
 def offset_labels(labels: Column, root: Column, reach: int = 32) -> Column:
@@ -91,6 +89,25 @@ def offset_labels(labels: Column, root: Column, reach: int = 32) -> Column:
     return F.transform(labels, lambda _, i: F.greatest(F.lit(-reach), F.least(F.lit(reach), root - i)) + reach)
 
 
+# Words of inner states of the batch labels, and their scores (dialogue, with such a word, else).
+BATCH_INNER = ["思っ", "感じ", "悲し", "悔し", "怒り", "悟っ", "知っ"]
+BATCH_SCORES = (0.1, 0.85, 0.25)
+
+
+def batch_heads(text: Column, is_dialogue: Column) -> dict[str, Column]:
+    """Labels (1 root, 7 particle, 2 else), offsets (of particles to the root, else 32 for none) and the epistemic score of training batches."""
+    n = F.least(F.length(text), F.lit(MAX_LENGTH))
+    root = F.greatest(F.lit(0), n - 2)
+    at = lambda i: F.exists(F.array(*[F.lit(p) for p in P.CASES]), lambda p: F.substring(text, i + 1, F.length(p)) == p)
+    every = lambda f: F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), f))
+    dialogue, inner, other = BATCH_SCORES
+    return {
+        "labels": every(lambda i: F.when(at(i), 7).when(i == root, 1).otherwise(2)),
+        "offsets": every(lambda i: F.when(at(i), F.greatest(F.lit(-32), F.least(F.lit(32), root - i)) + 32).otherwise(32)),
+        "epistemic": F.when(is_dialogue, dialogue).when(T.any_of(text, BATCH_INNER), inner).otherwise(other),
+    }
+
+
 def padded(values: Column, n: int, fill: int) -> Column:
     """The first ``n`` values, filled up with ``fill``."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), n)), 1, n)

@@ -149,13 +149,17 @@ def bracketed_segments(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(key, "line_no", "part_no", "sent_no", T.strip(F.col("segment")).alias("segment"), "kind")
 
 
-def dialogue_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines cut at 。: key, line_no, sent_no, sentence, is_dialogue. A line that begins with 「 is dialogue; its sentences get 」 back, others 。."""
+def dialogue_lines(df: DataFrame, key: str, text: str, least: int = 5, most: int = 120, end: str = "") -> DataFrame:
+    """Lines cut at 。: key, line_no, sent_no, sentence, is_dialogue.
+
+    A line from 「 to 」 is dialogue: its sentences get the 」 back, others ``end``.
+    Pieces of fewer than ``least`` characters and sentences of more than ``most`` are left out.
+    """
     lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).select(key, "line_no", T.strip(F.col("line")).alias("line")).where("line <> ''")
-    spoken = F.col("line").startswith("「")
-    parts = F.filter(F.transform(F.split("line", "。"), lambda s: T.strip(s)), lambda s: ~s.isin("", "」"))
-    ended = lambda s: F.when(s.endswith("」"), s).when(spoken, F.concat(s, F.lit("」"))).otherwise(F.concat(s, F.lit("。")))
-    out = lines.select(key, "line_no", spoken.alias("is_dialogue"), F.posexplode(F.transform(parts, ended)).alias("sent_no", "sentence"))
+    spoken = F.col("line").startswith("「") & F.col("line").endswith("」")
+    parts = F.filter(F.transform(F.split("line", "。"), T.strip), lambda s: F.length(s) >= least)
+    ended = lambda s: F.when(spoken & ~s.endswith("」"), F.concat(s, F.lit("」"))).when(spoken, s).otherwise(F.concat(s, F.lit(end)))
+    out = lines.select(key, "line_no", spoken.alias("is_dialogue"), F.posexplode(F.filter(F.transform(parts, ended), lambda s: F.length(s) <= most)).alias("sent_no", "sentence"))
     return out.select(key, "line_no", "sent_no", "sentence", "is_dialogue")
 
 
@@ -197,7 +201,7 @@ def modality_labels(text: Column, is_dialogue: Column) -> Column:
     whole = F.when(text.rlike("^（.*）$"), 2).otherwise(1)
     quotes, rounds = T.find_spans(text, "「[^」]*」|『[^』]*』"), T.find_spans(text, "（[^）]*）")
     within = lambda spans, i: F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))
-    by_char = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(within(rounds, i), 2).when(within(quotes, i), 1).otherwise(0))
+    by_char = T.let(F.struct(quotes.alias("q"), rounds.alias("r")), lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(within(s["r"], i), 2).when(within(s["q"], i), 1).otherwise(0)))
     return F.when(n == 0, F.array().cast("array<int>")).when(is_dialogue, F.array_repeat(whole, n)).otherwise(by_char)
 
 

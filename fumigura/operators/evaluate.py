@@ -75,3 +75,31 @@ def softmax(values: Column) -> Column:
 def running_mean(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(group, order, F.avg(value).over(w).alias("running_mean"))
+
+
+def guard_rates(df: DataFrame, confession: Column, change: Column, recollection: Column, truth: Column, least: float = 65.0, guarded: float = 80.0, rise: float = 0.30) -> DataFrame:
+    """False positives and negatives of a threshold rule, before and after a higher threshold guards recollections; null where no case can be wrong."""
+    rows = df.select(truth.alias("t"), ((confession >= least) & (change >= rise)).alias("plain"), ((confession >= F.when(F.coalesce(recollection, F.lit(False)), guarded).otherwise(least)) & (change >= rise)).alias("guard"))
+    rate = lambda p, of: F.round(F.sum((p & of).cast("int")) / F.nullif(F.sum(of.cast("int")), F.lit(0)), 6)
+    t, plain, guard = F.col("t"), F.coalesce("plain", F.lit(False)), F.coalesce("guard", F.lit(False))
+    return rows.agg(rate(plain, ~t).alias("fp"), rate(~plain, t).alias("fn"), rate(guard, ~t).alias("fp_guarded"), rate(~guard, t).alias("fn_guarded"))
+
+
+# Classes of the trials: share, truth, recollection, mean and deviation of confession and of the change in tension.
+TRIALS = [(0.25, True, False, 78.0, 8.0, 0.48, 0.12), (0.50, False, False, 35.0, 16.0, 0.15, 0.10), (0.25, False, True, 71.0, 5.5, 0.38, 0.10)]
+
+
+def perturbation_trials(spark, n: int = 50_000, seed: int = 42) -> DataFrame:
+    """The rates of ``guard_rates`` over ``n`` random states; normal numbers by seed, so tolerance counts, not the last digit."""
+    base = spark.range(n).select("id", F.randn(seed).alias("a"), F.randn(seed + 1).alias("b"))
+    upto, cols = 0.0, {}
+    for k, name in enumerate(("truth", "past", "cm", "cs", "tm", "ts"), 1):
+        upto, c = 0.0, None
+        for row in TRIALS:
+            upto += row[0]
+            hit = F.col("id") < int(n * upto)
+            c = F.when(hit, row[k]) if c is None else c.when(hit, row[k])
+        cols[name] = c.otherwise(TRIALS[-1][k])
+    r = base.withColumns(cols)
+    cut = lambda c, most: F.least(F.lit(most), F.greatest(F.lit(0.0), c))
+    return guard_rates(r, cut(F.col("cm") + F.col("a") * F.col("cs"), 100.0), cut(F.col("tm") + F.col("b") * F.col("ts"), 1.0), F.col("past"), F.col("truth"))

@@ -90,3 +90,50 @@ def error_benchmark(spark: SparkSession) -> DataFrame:
 
 def oversampled(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def choice(values: list[str], i: Column, nth: int) -> Column:
+    """A value by a hash of the number and of the place it is chosen for: any row can be made by itself."""
+    mixed = F.pmod(i * 2654435761 + nth * 40503 + F.shiftright(i * 40503 + nth * 9176, 3), F.lit(1 << 32))
+    return pick(values, F.shiftright(mixed, 12))
+
+
+# Words of the constituent sentences.
+WHO = ["俺", "私", "僕", "彼女", "彼", "勇者", "主人公", "ギルドマスター", "探偵", "騎士", "賢者", "少女", "少年", "老人", "警官", "旅人", "王女"]
+WHAT = ["ステータス画面", "古代の魔導書", "真実の鍵", "スマートフォン", "冷めたコーヒー", "依頼書", "聖剣", "壊れた時計", "水晶玉", "手紙", "記憶の欠片", "古びた地図", "暗号メモ"]
+WHERE = ["ギルドの酒場", "暗いダンジョンの深層", "オフィスの静寂の中", "放課後の教室", "壊れかけた神殿", "静かな図書室", "霧深い森の奥", "城のバルコニー", "街角の路地裏"]
+HOW = ["確かめるように", "震える手で", "素早く", "慎重に", "息を潜めて", "迷いなく", "不敵な笑みを浮かべて", "祈りを込めながら", "無言で"]
+THEN = ["そして", "しかし", "だが", "その時", "まもなく", "だから", "また"]
+# The four forms of the constituent sentences (c: connective, l: place, s: subject, o: object, h: manner).
+FORMS = ["{c}、{l}で{s}は{o}を{h}開いた。", "{o}を{h}見つめながら、{s}は{l}へと急いだ。", "{l}の片隅で、{s}は「これこそが{o}に違いない」と強く確信した。", "{s}の手から{o}が零れ落ち、{l}の床に鈍い音を立てて砕け散った。"]
+
+# Words and forms of the modern sentences; speech and thought have five forms each.
+MODERN_WHO = ["俺", "私", "僕", "彼女", "彼", "勇者", "主人公", "ギルドマスター", "先輩", "後輩", "エリス", "アリア", "魔王", "少女"]
+MODERN_WHAT = ["ステータス画面", "スキル一覧", "古代の魔導書", "真実の鍵", "スマートフォン", "冷めたコーヒー", "依頼書", "聖剣", "黒い短剣"]
+MODERN_WHERE = ["ギルドの酒場", "暗いダンジョンの中層", "オフィスの静寂", "放課後の教室", "地下闘技場", "壊れかけた神殿", "薄暗い自室"]
+MODERN_DEED = ["静かに睨みつけた", "ため息をつきながら開いた", "素早くポケットに隠した", "信じられない思いで見つめた", "迷わず手に取った", "呟いて立ち上がった"]
+MODERN_TOLD = ["{s}は{l}で{o}を{d}。", "{s}が{l}から{o}を持ち去った。"]
+MODERN_SPEECH = ["「おい{s}、本当に{l}へ行くつもりなのか？」", "「{o}なら、もう俺の手の中にあるよ」", "「まさか……{s}がそんなことをするなんて信じられない！」", "「安心しろって。この{o}さえあれば何とかなるからさ」", "「{l}の様子はどうだった？　何か手がかりはあったのか？」"]
+MODERN_THOUGHT = ["{l}に立ち尽くし、{o}を握りしめていた。", "まさか、こんなところで{s}に出会うとは思わなかった。", "息を殺して、闇の奥から響く足音に耳を澄ませた。", "どれほど悔やんでも、失われた時間だけは戻らないのだと知っていた。", "{o}を前にして、胸の奥で燻っていた疑念が確信へと変わった。"]
+
+
+def filled(form: Column, words: dict[str, Column]) -> Column:
+    for name, word in words.items():
+        form = F.replace(form, F.lit("{" + name + "}"), word)
+    return form
+
+
+def constituent_sentences(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """(id, form, text): four sentences of chosen constituents for each of ``n`` numbers; none is dialogue."""
+    i = F.col("id")
+    words = {k: choice(v, i, nth) for nth, (k, v) in enumerate((("c", THEN), ("l", WHERE), ("s", WHO), ("o", WHAT), ("h", HOW)))}
+    rows = spark.range(n).withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(len(FORMS) - 1))))
+    return rows.select("id", "form", filled(pick(FORMS, F.col("form")), words).alias("text"))
+
+
+def modern_sentences(spark: SparkSession, n: int = 800) -> DataFrame:
+    """(id, form, text, is_dialogue): two told sentences, one spoken and one thought for each of ``n`` numbers."""
+    i = F.col("id")
+    words = {k: choice(v, i, nth) for nth, (k, v) in enumerate((("s", MODERN_WHO), ("l", MODERN_WHERE), ("o", MODERN_WHAT), ("d", MODERN_DEED)))}
+    forms = F.array(*[F.lit(f) for f in MODERN_TOLD], choice(MODERN_SPEECH, i, 4), choice(MODERN_THOUGHT, i, 5))
+    return spark.range(n).select("id", F.posexplode(forms).alias("form", "t")).select("id", "form", filled(F.col("t"), words).alias("text"), (F.col("form") == 2).alias("is_dialogue"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The cases scored, in order.
 CASES = ["ガ", "ガ２", "ヲ", "ニ", "ト", "デ", "カラ", "ヨリ", "ヘ", "マデ"]
@@ -110,3 +111,35 @@ def scored(df: DataFrame, dim: int = 16, seed: int = 0) -> DataFrame:
 
     kind = df.schema["id"].dataType.simpleString()
     return df.select("id", "text").mapInArrow(run, f"id {kind}, predicate int, case_name string, argument int, score double, is_zero boolean")
+
+
+def reshaped(df: DataFrame, key: str, flat: str, cases: int, length: int) -> DataFrame:
+    """(key, case_idx, i, j, value) of a flat tensor [case][i][j]; what it lacks is 0."""
+    cells = df.select(key, F.col(flat).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(cases * length * length - 1))).alias("at"))
+    return cells.select(key, F.floor(F.col("at") / (length * length)).cast("int").alias("case_idx"), F.floor(F.pmod("at", F.lit(length * length)) / length).cast("int").alias("i"), F.pmod("at", F.lit(length)).alias("j"), F.coalesce(F.get("v", F.col("at")), F.lit(0.0)).alias("value"))
+
+
+def subtrees(df: DataFrame, key: str, heads: str) -> DataFrame:
+    """(key, node, first, last, size) of the subtree under each node of an array of heads; a node is in its own, a head outside the array or of itself is none, cycles are walked once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, int, int, int, int]] = []
+            for r, hs in enumerate(b.column(1).to_pylist()):
+                under: list[list[int]] = [[] for _ in hs or []]
+                for i, h in enumerate(hs or []):
+                    if h is not None and 0 <= h < len(under) and h != i:
+                        under[h].append(i)
+                for node, kids in enumerate(under):
+                    seen, todo = {node}, list(kids)
+                    while todo:
+                        x = todo.pop()
+                        if x not in seen:
+                            seen.add(x)
+                            todo += under[x]
+                    rows.append((r, node, min(seen), max(seen), len(seen)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["key", "node", "first", "last", "size"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), heads).mapInArrow(run, f"key {kind}, node int, first int, last int, size int").withColumnRenamed("key", key)

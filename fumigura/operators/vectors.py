@@ -32,7 +32,7 @@ def correlations(df: DataFrame, v: str, dims: int) -> DataFrame:
 
 
 def spectrum(df: DataFrame, v: str, dims: int) -> DataFrame:
-    """Effective rank and condition number of the standardised columns, from their correlation matrix (dims by dims)."""
+    """Effective rank, condition number and shares of variance of the standardised columns, from their correlation matrix (dims by dims)."""
     c = np.eye(dims)
     for r in correlations(df, v, dims).collect():
         if r["i"] != r["j"]:  # columns without variance correlate with nothing
@@ -40,7 +40,7 @@ def spectrum(df: DataFrame, v: str, dims: int) -> DataFrame:
     s = np.sqrt(np.maximum(np.linalg.eigvalsh(c), 0))[::-1]
     p = s / s.sum()
     rank = float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))
-    return df.sparkSession.createDataFrame([(dims, round(rank, 6), round(float(s[0] / max(s[-1], 1e-12)), 6))], "dims int, effective_rank double, condition_number double")
+    return df.sparkSession.createDataFrame([(dims, round(rank, 6), round(float(s[0] / max(s[-1], 1e-12)), 6), [round(float(x), 6) for x in s**2 / (s**2).sum()])], "dims int, effective_rank double, condition_number double, variance_explained array<double>")
 
 
 def recurrent_core(df: DataFrame, ids: str, vocab: int = 256, dim: int = 64, seed: int = 0) -> DataFrame:
@@ -50,12 +50,15 @@ def recurrent_core(df: DataFrame, ids: str, vocab: int = 256, dim: int = 64, see
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best = []
-            for seq in b.column(1).to_pylist():
-                h = np.zeros(dim)
-                for t in seq or []:
-                    h = 0.5 * h + 0.5 * np.maximum(0, w @ (h + e[min(max(t, 0), vocab - 1)]))
-                best.append(int((out @ h).argmax()))
+            rows = [np.clip(np.array(seq or [], np.int64), 0, vocab - 1) for seq in b.column(1).to_pylist()]
+            order = np.argsort([-len(r) for r in rows], kind="stable")  # longest first: those still running stay in front
+            long = np.array([len(rows[k]) for k in order])
+            h = np.zeros((len(rows), dim))
+            for t in range(long[0] if len(long) else 0):
+                n = int(np.searchsorted(-long, -t, "left"))
+                h[:n] = 0.5 * h[:n] + 0.5 * np.maximum(0, (h[:n] + e[[rows[k][t] for k in order[:n]]]) @ w.T)
+            best = np.empty(len(rows), np.int32)
+            best[order] = (h @ out.T).argmax(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int32())], names=["id", "best"])
 
     kind = df.schema["id"].dataType.simpleString()

@@ -32,7 +32,8 @@ def _spans(source: str, key: str, text: str, pattern: str) -> str:
 _CORPUS = "corpus AS (SELECT DISTINCT id, text FROM token_corpus_v18_leakfree WHERE text IS NOT NULL)"
 _TRAIN = "train AS (SELECT DISTINCT rec_id, text FROM train_v15_1m WHERE text IS NOT NULL)"
 _ITEMS = "items AS (SELECT DISTINCT id, text FROM benchmark_sample WHERE text IS NOT NULL)"
-_GUARD = f"guard AS (SELECT DISTINCT {_trim('text')} AS phrase FROM benchmark_sample WHERE text IS NOT NULL)"
+_EVALUATION = "(SELECT text FROM benchmark_sample UNION ALL SELECT text FROM fused_sample)"
+_GUARD = f"guard AS (SELECT DISTINCT {_trim('text')} AS phrase FROM {_EVALUATION} WHERE text IS NOT NULL)"
 _D = "、―─「」『』（）…：；\\n"
 _SCENES = """sc AS (SELECT DISTINCT ON (pov_id) scene_id AS doc, (idx::BIGINT * 1000000 + pov_id) AS idx, text, isdialogue AS is_dialogue, subjectcandidate AS subject, kasanetelemetry.texture AS x
       FROM pov_sentence_input WHERE text IS NOT NULL)"""
@@ -124,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, (i - 1)::INT AS sent_no, l[i] AS sentence FROM s, unnest(range(1, len(l) + 1)) AS u(i)""",
         "sentence_offsets": f"""WITH src AS (SELECT DISTINCT sar_id, sentence FROM sentence_analysis_result WHERE sentence IS NOT NULL), {_spans('src', 'sar_id', 'sentence', '[^。\\n!！?？]*[。\\n!！?？]|[^。\\n!！?？]+')}
           SELECT sar_id, off AS from_off, (off + length(tok))::INT AS to_off FROM spans WHERE regexp_matches(tok, '{_SOLID}')""",
-        "clause_split": f"""WITH {_ITEMS}, {_spans('items', 'id', 'text', f'[^{_D}]+[{_D}]?|[{_D}]')}
+        "clause_split": f"""WITH {_CORPUS}, {_spans('corpus', 'id', 'text', f'[^{_D}]+[{_D}]?|[{_D}]')}
           SELECT id, off AS start_pos, tok AS clause FROM spans WHERE regexp_matches(tok, '^[^{_D}]') AND regexp_matches(tok, '{_SOLID}')""",
         "markup_clean": f"SELECT doc_id, {markup} AS clean FROM documents WHERE text IS NOT NULL",
         "quick_clean": f"SELECT doc_id, {quick} AS clean FROM documents WHERE text IS NOT NULL",
@@ -138,10 +139,10 @@ def oracle_sql() -> dict[str, str]:
         "ruby_count": f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '([一-龠々〆ヵヶ]+)《([^》\\n]+)》', 1), lambda b: contains({markup}, b)))::INT AS rubies FROM documents WHERE text IS NOT NULL",
         "leak_exact": f"WITH {_CORPUS}, {_GUARD} {_LEAKED['exact']}",
         "leak_substring": f"WITH {_CORPUS}, {_GUARD} {_LEAKED['substring']}",
-        "leak_phrase": f"""WITH {_CORPUS}, ph AS (SELECT {_trim('p')} AS phrase FROM (SELECT unnest(regexp_extract_all(text, '[「『（]([^」』）]+)[」』）]', 1)) AS p FROM benchmark_sample WHERE text IS NOT NULL)
-            UNION SELECT {_trim('h')} FROM (SELECT string_split(text, '、と')[1] AS h FROM benchmark_sample WHERE contains(text, '、と')) WHERE length(h) >= 6)
+        "leak_phrase": f"""WITH {_CORPUS}, ph AS (SELECT {_trim('p')} AS phrase FROM (SELECT unnest(regexp_extract_all(text, '[「『（]([^」』）]+)[」』）]', 1)) AS p FROM {_EVALUATION} WHERE text IS NOT NULL)
+            UNION SELECT {_trim('h')} FROM (SELECT string_split(text, '、と')[1] AS h FROM {_EVALUATION} WHERE contains(text, '、と')) WHERE length(h) >= 6)
           SELECT id FROM corpus c WHERE EXISTS (SELECT 1 FROM ph WHERE length(phrase) >= 8 AND contains(c.text, phrase))""",
-        "leak_audit": f"WITH {_CORPUS}, {_GUARD} SELECT count(*) AS checked, 0::BIGINT AS overlaps FROM corpus WHERE id NOT IN ({_LEAKED['exact']})",
+        "leak_audit": f"WITH {_CORPUS}, {_GUARD} SELECT count(*) AS checked, count(*) FILTER (WHERE {_trim('text')} IN (SELECT phrase FROM guard)) AS overlaps FROM corpus WHERE id NOT IN ({_LEAKED['exact']})",
         "dedup_first": f"WITH {_CORPUS} SELECT id, text FROM (SELECT *, row_number() OVER (PARTITION BY {_trim('text')} ORDER BY id) AS r FROM corpus) WHERE r = 1",
         "corpus_union": f"""WITH u AS (SELECT 0 AS src_rank, id::VARCHAR AS id, {_trim('text')} AS text FROM benchmark_sample WHERE text IS NOT NULL UNION ALL SELECT 1, rec_id::VARCHAR, {_trim('text')} FROM val_v15_1m WHERE text IS NOT NULL UNION ALL SELECT 2, rec_id::VARCHAR, {_trim('text')} FROM train_v15_1m WHERE text IS NOT NULL),
           k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY src_rank, id) AS r FROM u) SELECT src_rank, count(*) AS kept, sum(length(text))::BIGINT AS chars FROM k WHERE r = 1 GROUP BY src_rank""",
@@ -173,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT i, {_list(G.SUBJECTS)}[i % 8 + 1] AS who, {_list(G.SCENES)}[(i * 3) % 6 + 1] AS place, {lines}[(i * 5) % 6 + 1] AS line FROM range(1000) AS r(i))""",
         "error_benchmark_stats": f"SELECT error_type, sum(n)::BIGINT AS n, sum(e)::BIGINT AS errors FROM (VALUES {errors}) AS v(error_type, n, e) GROUP BY error_type",
         "template_product": f"SELECT a::INT AS a, b::INT AS b, {_list(G.PEOPLE)}[a + 1] || 'は' || {_list(G.PLACES)}[b + 1] AS text FROM range(10) AS x(a), range(10) AS y(b) ORDER BY a, b LIMIT 50",
-        "double_negation": f"WITH t AS (SELECT DISTINCT text FROM (VALUES {texts}) AS v(text)), {_spans('t', 'text', 'text', f'(?s){negations}|.')} SELECT text, off AS start_pos, tok AS phrase FROM spans WHERE list_contains({_list(P.DOUBLE_NEGATIONS)}, tok)",
+        "double_negation": f"WITH {_CORPUS}, t AS (SELECT id, text FROM corpus UNION ALL SELECT DISTINCT text, text FROM (VALUES {texts}) AS v(text)), {_spans('t', 'id', 'text', f'(?s){negations}|.')} SELECT id, off AS start_pos, tok AS phrase FROM spans WHERE list_contains({_list(P.DOUBLE_NEGATIONS)}, tok)",
         "long_dependency": """WITH f AS (SELECT DISTINCT ON (id) id, text, telemetry.texture AS x, telemetry.dynamics AS d FROM fused_sample WHERE text IS NOT NULL),
           g AS (SELECT *, regexp_extract(text, '(?:^|[、。])([一-龠々ぁ-んァ-ヶa-zA-Z0-9]+[はが])') AS whole FROM f),
           h AS (SELECT *, (strpos(text, whole) - 1 + CASE WHEN regexp_matches(whole, '^[、。]') THEN 1 ELSE 0 END)::INT AS start_pos FROM g WHERE whole <> '')

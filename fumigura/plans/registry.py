@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fumigura.functions import text as T
 from fumigura.operators import anaphora, annotate, consistency, corpus, evaluate, events, generate, lint, modality, normalizer, pas, pov, tokenizer, vectors
-from fumigura.sources.io import digest, distinct_rows, embedded_lines, run_history, stats_json, table
+from fumigura.sources.io import digest, distinct_rows, table
 from fumigura.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "text").where("text is not null")
 
 
+def _evaluation(s: SparkSession, d: str) -> DataFrame:
+    return _items(s, d).union(table(s, d, "fused_sample", "id", "text").where("text is not null")).distinct()
+
+
 def _guard(s: SparkSession, d: str) -> DataFrame:
-    return _items(s, d).select(T.strip(F.col("text")).alias("phrase")).distinct()
+    return _evaluation(s, d).select(T.strip(F.col("text")).alias("phrase")).distinct()
 
 
 def _errors(s: SparkSession) -> DataFrame:
@@ -75,7 +79,7 @@ def sentence_offsets(s, d):
 
 @query
 def clause_split(s, d):
-    return _items(s, d).select("id", F.explode(T.clause_spans(F.col("text"))).alias("x")).select("id", F.col("x.start").alias("start_pos"), F.col("x.text").alias("clause"))
+    return _corpus(s, d).select("id", F.explode(T.clause_spans(F.col("text"))).alias("x")).select("id", F.col("x.start").alias("start_pos"), F.col("x.text").alias("clause"))
 
 
 @query
@@ -138,7 +142,7 @@ def ruby_count(s, d):
 
 @query
 def leak_exact(s, d):
-    return corpus.exact_leaks(_corpus(s, d), _items(s, d)).select("id")
+    return corpus.exact_leaks(_corpus(s, d), _evaluation(s, d)).select("id")
 
 
 @query
@@ -148,13 +152,13 @@ def leak_substring(s, d):
 
 @query
 def leak_phrase(s, d):
-    return corpus.substring_leaks(_corpus(s, d), corpus.core_phrases(_items(s, d)), 8, False).select("id")
+    return corpus.substring_leaks(_corpus(s, d), corpus.core_phrases(_evaluation(s, d)), 8, False).select("id")
 
 
 @query
 def leak_audit(s, d):
     c, g = _corpus(s, d), _guard(s, d)
-    left = c.join(corpus.exact_leaks(c, _items(s, d)).select("id").distinct(), "id", "left_anti")
+    left = c.join(corpus.exact_leaks(c, _evaluation(s, d)).select("id").distinct(), "id", "left_anti")
     return left.join(g, T.strip(F.col("text")) == F.col("phrase"), "left").agg(F.count("*").alias("checked"), F.count("phrase").alias("overlaps"))
 
 
@@ -264,7 +268,7 @@ def case_particles(s, d):
 
 @query
 def case_targets(s, d):
-    return _items(s, d).select("id", annotate.case_particles(F.col("text")).alias("particles"))
+    return _corpus(s, d).select("id", annotate.case_particles(F.col("text")).alias("particles"))
 
 
 @query
@@ -294,7 +298,7 @@ def entity_spans(s, d):
 
 @query
 def token_heads(s, d):
-    return annotate.head_columns(table(s, d, "val_v15_1m", "rec_id", "text", "is_dialogue").where("text is not null and is_dialogue is not null").distinct(), "text", "is_dialogue")
+    return annotate.head_columns(_train(s, d, "is_dialogue").withColumn("is_dialogue", F.coalesce("is_dialogue", F.lit(False))), "text", "is_dialogue")
 
 
 # --- generators ---
@@ -327,7 +331,7 @@ def template_product(s, d):
 
 @query
 def double_negation(s, d):
-    return _errors(s).select("text", F.explode(lint.double_negations(F.col("text"))).alias("x")).select("text", F.col("x.start").alias("start_pos"), F.col("x.text").alias("phrase"))
+    return _corpus(s, d).union(_errors(s).select(F.col("text").alias("id"), "text")).select("id", F.explode(lint.double_negations(F.col("text"))).alias("x")).select("id", F.col("x.start").alias("start_pos"), F.col("x.text").alias("phrase"))
 
 
 @query
@@ -514,7 +518,7 @@ def spectrum(s, d):
 
 @query
 def recurrent_core(s, d):
-    rows = table(s, d, "val_v15_1m", "rec_id", "label_ids").where("label_ids is not null").distinct()
+    rows = table(s, d, "train_v15_1m", "rec_id", "label_ids").where("label_ids is not null").distinct()
     return vectors.recurrent_core(rows.select(F.col("rec_id").alias("id"), "label_ids"), "label_ids")
 
 

@@ -76,6 +76,18 @@ def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def packed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, packed): texts as base64 of gzip; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None if t is None else base64.b64encode(gz.compress(t.encode("utf-8"), mtime=0)).decode("ascii") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "packed"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, packed string").withColumnRenamed("key", key)
+
+
 def embedded_lines(df: DataFrame, key: str, packed: str) -> DataFrame:
     """(key, line_no, line) of texts embedded as base64 of gzip; nulls and what isn't such a text have no lines."""
 

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fumigura.functions import text as T
 from fumigura.operators import events as E
 from fumigura.sources.io import shared_dir
 
@@ -71,6 +73,49 @@ def bounded(stream: DataFrame, key: str, order: str, capacity: int) -> DataFrame
     return stream.select(key, order).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, accepted long, dropped long", "dropped long", "append", GroupStateTimeout.NoTimeout)
 
 
+def analysed(stream: DataFrame, key: str, text: str) -> DataFrame:
+    """Requests to analyse a text: its characters, sentences and dialogue, a stateless projection."""
+    c = F.col(text)
+    return stream.where(c.isNotNull()).select(key, F.length(c).alias("chars"), F.size(T.sentences(c)).alias("sentences"), c.rlike("「[^」]*」").alias("has_dialogue"))
+
+
+def correlated(requests: DataFrame, responses: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Requests (key, asked) with each response (key, answered) of the same key that comes within the time; state is bounded by the watermarks."""
+    a = requests.withWatermark("asked", late).alias("a")
+    b = responses.withWatermark("answered", late).alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {within}"))
+    return a.join(b, on).select(F.col("a.key").alias("key"), "asked", "answered")
+
+
+def latest(stream: DataFrame, key: str, version: str, value: str) -> DataFrame:
+    """(key, version, value) for each trigger in which a key gets a later version: edits that come late are passed over."""
+    kind, what = (stream.schema[c].dataType.simpleString() for c in (key, value))
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames))
+        best = rows.loc[rows[version].idxmax()]
+        if known is None or best[version] > known:
+            state.update((int(best[version]),))
+            yield pd.DataFrame([(k[0], int(best[version]), best[value])], columns=[key, "version", value])
+
+    return stream.where(F.col(version).isNotNull()).select(key, F.col(version).cast("long").alias(version), value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version long, {value} {what}", "version long", "append", GroupStateTimeout.NoTimeout)
+
+
+def waits(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests (key, asked) with the first response (key, answered) from then on, or null: one pass over both in order."""
+    both = requests.select("key", F.col("asked").alias("at"), F.lit(None).cast("timestamp").alias("answered"), F.lit(True).alias("asks")).union(responses.select("key", "answered", "answered", F.lit(False)))
+    ahead = Window.partitionBy("key").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("answered", F.min("answered").over(ahead)).where("asks").select("key", F.col("at").alias("asked"), "answered")
+
+
+def watchdog(waited: DataFrame, limit: float) -> DataFrame:
+    """By key: requests, those without a response within ``limit`` seconds, and the longest wait of the others."""
+    took = (F.unix_micros("answered") - F.unix_micros("asked")) / 1e6
+    late = took.isNull() | (took > limit)
+    return waited.groupBy("key").agg(F.count("*").alias("requests"), F.count_if(late).alias("timeouts"), F.round(F.max(F.when(~late, took)), 3).alias("longest"))
+
+
 def drained(stream: DataFrame, out: str | None = None) -> DataFrame:
     """All that the stream has now, written in micro-batches and read back as a table."""
     spark = stream.sparkSession
