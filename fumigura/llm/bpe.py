@@ -5,7 +5,8 @@ then its prefixes that are tokens; a token is kept if the pair it forms with
 the token before is compatible, that is if the merges of the vocabulary would
 leave the boundary between the two. A sequence of compatible pairs is the
 encoding. Longest matches come from the vocabulary's automaton, kept as a
-double array; all stretches of a batch advance side by side in numpy.
+double array; a match must begin where the token before ended, so that no failure
+link is ever followed. All stretches of a batch advance side by side in numpy.
 
 Decoding copies the bytes of the tokens from one block by an offset table.
 
@@ -22,18 +23,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumigura.llm.common import codes, column, expand, mix64, spread
 
-#: Folder of the public vocabularies.
+#: Folder of the public vocabularies, on the driver; the file of one (about 1 MB) is broadcast.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Characters encoded at once.
 SLICE = 400_000
-#: Bytes of one stretch up to which it is encoded side by side with the others.
-LANE = 2048
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 # Characters of the property White_Space.
@@ -85,9 +85,8 @@ def stretches(a: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Tables of one vocabulary: token bytes, automaton, prefixes, and the merges behind each token."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(x): int(y) for x, y in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes) -> None:
+        ranks = {base64.b64decode(x): int(y) for x, y in (line.split() for line in lines.splitlines() if line.strip())}
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
@@ -276,53 +275,28 @@ class Vocabulary:
         byte = np.concatenate([[0], np.cumsum(width)])
         begin = byte[stretches(a, n)]
         end = np.concatenate([begin[1:], byte[-1:]]) if len(begin) else begin
-        short = end - begin <= LANE
-        parts = [self.encode_stretches(data, begin[short], end[short])] if short.any() else []
-        parts += [self._alone(data, int(b), int(e)) for b, e in zip(begin[~short], end[~short], strict=True)]
-        at, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        if len(parts) > 1:
-            order = np.argsort(at, kind="stable")
-            at, ids = at[order], ids[order]
+        at, ids = self.encode_stretches(data, begin, end) if len(begin) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         limits = byte[np.cumsum(n)]
         counts = np.diff(np.concatenate([[0], np.searchsorted(at, limits, "right")]))
         return ids, counts
 
-    def _alone(self, data: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """One very long stretch, in a plain loop."""
-        length, prefix, longest = self.length, self.prefix, self.longest(data, np.arange(begin, end))
-        dead, places, ids, pos = set(), [], [], begin
-        cur = int(longest[0])
-        memo: dict[tuple[int, int], bool] = {}
-        while pos < end:
-            to = pos + int(length[cur])
-            ok = to <= end and to not in dead
-            if ok and ids:
-                pair = (ids[-1], cur)
-                if pair not in memo:
-                    memo[pair] = bool(self._leaves(np.array(pair[:1]), np.array(pair[1:]))[0])
-                ok = memo[pair]
-            if ok:
-                ids.append(cur)
-                places.append(to)
-                pos = to
-                cur = int(longest[pos - begin]) if pos < end else -1
-            elif prefix[cur] >= 0:
-                cur = int(prefix[cur])
-            else:
-                dead.add(pos)
-                cur = ids.pop()
-                places.pop()
-                pos -= int(length[cur])
-        return np.array(places, np.int64), np.array(ids, np.int32)
-
     def decode(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
         return self.block[expand(self.offset[ids], self.length[ids].astype(np.int64))].tobytes()
 
 
+def _file(name: str, folder: str) -> bytes:
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        return f.read()
+
+
 @lru_cache(4)
+def _loaded(lines: bytes) -> Vocabulary:
+    return Vocabulary(lines)
+
+
 def vocabulary(name: str = VOCABULARY, folder: str = TOKENIZERS) -> Vocabulary:
-    return Vocabulary(os.path.join(folder, f"{name}.tiktoken"))
+    return _loaded(_file(name, folder))
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -335,9 +309,9 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield s, len(texts)
 
 
-def _encode(name: str, folder: str, key: str, only_counts: bool):
+def _encode(lines: Broadcast, key: str, only_counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name, folder)
+        v = _loaded(lines.value)
         for batch in batches:
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             for s, e in _slices(texts):
@@ -355,20 +329,22 @@ def _encode(name: str, folder: str, key: str, only_counts: bool):
 def encode_corpus(df: DataFrame, key: str = "doc_id", name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids array<int>) of (key, text), without special tokens, whose strings count as plain text."""
     kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(key, "text")).mapInArrow(_encode(name, folder, key, False), f"{key} {kind}, ids array<int>")
+    return spread(df.select(key, "text")).mapInArrow(_encode(df.sparkSession.sparkContext.broadcast(_file(name, folder)), key, False), f"{key} {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """(key, tokens int) of (key, text)."""
     kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(key, "text")).mapInArrow(_encode(name, folder, key, True), f"{key} {kind}, tokens int")
+    return spread(df.select(key, "text")).mapInArrow(_encode(df.sparkSession.sparkContext.broadcast(_file(name, folder)), key, True), f"{key} {kind}, tokens int")
 
 
 def decode_corpus(df: DataFrame, key: str = "doc_id", name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """(key, text) of (key, ids); sequences that are no whole UTF-8 give replacement characters, null gives null."""
 
+    lines = df.sparkSession.sparkContext.broadcast(_file(name, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name, folder)
+        v = _loaded(lines.value)
         for batch in batches:
             texts = [None if x is None else v.decode(x).decode("utf-8", "replace") for x in column(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(texts, pa.string())], names=[key, "text"])

@@ -67,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: overlap.overlaps(*_splits(s, d)).select("rec_id_a", "rec_id_b").distinct(),
         "p3_report": lambda s, d: overlap.overlap_report(*_splits(s, d)),
         "p4_found": _p4,
+        "p4_classes": lambda s, d: unify.alike_classes(table(s, d, "fused_sample", "id", "text")),
         "p4_forms": _p4_forms,
         "p5_found": lambda s, d: _sentences(s, d).select("src", "row_id", "end_pos").distinct(),
         "p5_units": _sentences,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fumigura.llm.common import column, spread
+from fumigura.llm.common import column, materialize, salted_join, spread
 
 # Letters of one shape, the first of each group stands for all.
 SAME_SHAPE = """
@@ -72,12 +72,25 @@ def unify(df: DataFrame, source: str, name: str, fold_case: bool = True) -> Data
     return df.mapInArrow(per_distinct(lambda t: canonical(t, fold_case), {source: name}), f"{schema}, `{name}` string")
 
 
-def alike_records(df: DataFrame) -> DataFrame:
-    """(key_a, key_b): ids key_a < key_b of (id, text) whose texts differ but look the same."""
+def _by_form(df: DataFrame) -> DataFrame:
+    """(id, text, form) of the records with a text, in a shared table."""
     rows = df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text").distinct()
-    keyed = rows.mapInArrow(per_distinct(looks, {"text": "form"}), "id string, text string, form string")
+    return materialize(rows.mapInArrow(per_distinct(looks, {"text": "form"}), "id string, text string, form string"), "alike-forms")
+
+
+def alike_records(df: DataFrame) -> DataFrame:
+    """(key_a, key_b): ids key_a < key_b of (id, text) whose texts differ but look the same; frequent forms are spread over several tasks."""
+    keyed = _by_form(df)
     a, b = (keyed.select("form", F.col("id").alias(f"key_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return a.join(b, "form").where((F.col("key_a") < F.col("key_b")) & (F.col("text_a") != F.col("text_b"))).select("key_a", "key_b").distinct()
+    return salted_join(a, b, "form", "key_a").where((F.col("key_a") < F.col("key_b")) & (F.col("text_a") != F.col("text_b"))).select("key_a", "key_b").distinct()
+
+
+def alike_classes(df: DataFrame) -> DataFrame:
+    """One row for each id and text of (id, text): id, class_id (the least id that looks the same) and links (other texts that do)."""
+    keyed = _by_form(df)
+    texts = keyed.groupBy("form", F.xxhash64("text").alias("t")).agg(F.min("id").alias("least"))  # copies of a text become one row before forms meet
+    classes = texts.groupBy("form").agg(F.min("least").alias("class_id"), (F.count("*") - 1).alias("links"))
+    return keyed.join(classes, "form").select("id", "class_id", "links").distinct()
 
 
 def alike_columns(df: DataFrame, a: str, b: str) -> DataFrame:
