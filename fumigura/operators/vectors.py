@@ -43,10 +43,13 @@ def spectrum(df: DataFrame, v: str, dims: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(dims, round(rank, 6), round(float(s[0] / max(s[-1], 1e-12)), 6), [round(float(x), 6) for x in s**2 / (s**2).sum()])], "dims int, effective_rank double, condition_number double, variance_explained array<double>")
 
 
-def recurrent_core(df: DataFrame, ids: str, vocab: int = 256, dim: int = 64, seed: int = 0) -> DataFrame:
-    """(id, ids) -> (id, best): the likeliest next token of a small recurrent core after each sequence; ids outside the vocabulary are cut to it."""
+def recurrent_core(df: DataFrame, ids: str, vocab: int = 256, dim: int = 64, seed: int = 0, weights: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, ids) -> (id, best): the likeliest next token of a small recurrent core after each sequence; ids outside the vocabulary are cut to it.
+
+    ``weights``: embedding (vocab, dim), recurrence (dim, dim) and output (vocab, dim); random by ``seed`` if none are given.
+    """
     rng = np.random.default_rng(seed)
-    e, w, out = rng.normal(size=(vocab, dim)) * 0.1, rng.normal(size=(dim, dim)) * 0.1, rng.normal(size=(vocab, dim)) * 0.1
+    e, w, out = weights or tuple(rng.normal(size=size) * 0.1 for size in ((vocab, dim), (dim, dim), (vocab, dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
