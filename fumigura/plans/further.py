@@ -54,14 +54,20 @@ def bracket_segments(s, d):
     return corpus.bracketed_segments(R._corpus(s, d), "id", "text")
 
 
-SQL["bracket_segments"] = rf"""WITH {_CORPUS}, l AS (SELECT id, i - 1 AS line_no, {_trim('a[i]')} AS line FROM (SELECT id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM corpus), unnest(range(1, len(a) + 1)) AS u(i)),
-  t AS (SELECT id, line_no, k, x[k] AS tok, regexp_full_match(x[k], '(?s){_Q}') AS whole FROM (SELECT id, line_no, regexp_extract_all(line, '(?s){_Q}|[^「『（]+|[「『（]') AS x FROM l WHERE line <> ''), unnest(range(1, len(x) + 1)) AS u(k)),
-  b AS (SELECT *, coalesce(lag(whole) OVER (PARTITION BY id, line_no ORDER BY k), true) AS before FROM t),
-  g AS (SELECT *, sum(CASE WHEN NOT whole AND NOT before THEN 0 ELSE 1 END) OVER (PARTITION BY id, line_no ORDER BY k) AS grp FROM b),
-  p AS (SELECT id, line_no, grp, {_trim("string_agg(tok, '' ORDER BY k)")} AS part FROM g GROUP BY id, line_no, grp),
-  n AS (SELECT *, row_number() OVER (PARTITION BY id, line_no ORDER BY grp) - 1 AS part_no, CASE WHEN regexp_full_match(part, '「.*」|『.*』') THEN 'dialogue' WHEN regexp_full_match(part, '（.*）') THEN 'monologue' ELSE 'narrative' END AS kind FROM p WHERE part <> ''),
-  c AS (SELECT *, CASE WHEN kind <> 'narrative' THEN [part] ELSE list_filter(regexp_extract_all(part, '[^。！？!]*[。！？!]|[^。！？!]+'), lambda x: {_trim('x')} <> '') END AS cut FROM n)
-  SELECT id, line_no::INT AS line_no, part_no::INT AS part_no, (j - 1)::INT AS sent_no, {_trim('cut[j]')} AS segment, kind FROM c, unnest(range(1, len(cut) + 1)) AS u(j)"""
+def _segments_sql(quoted: str, opening: str, label: str) -> str:
+    """Lines cut before and after what is quoted, the rest by sentence; ``label`` names each part."""
+    return rf"""WITH {_CORPUS}, l AS (SELECT id, i - 1 AS line_no, {_trim('a[i]')} AS line FROM (SELECT id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM corpus), unnest(range(1, len(a) + 1)) AS u(i)),
+      t AS (SELECT id, line_no, k, x[k] AS tok, regexp_full_match(x[k], '(?s){quoted}') AS whole FROM (SELECT id, line_no, regexp_extract_all(line, '(?s){quoted}|[^{opening}]+|[{opening}]') AS x FROM l WHERE line <> ''), unnest(range(1, len(x) + 1)) AS u(k)),
+      b AS (SELECT *, coalesce(lag(whole) OVER (PARTITION BY id, line_no ORDER BY k), true) AS before FROM t),
+      g AS (SELECT *, sum(CASE WHEN NOT whole AND NOT before THEN 0 ELSE 1 END) OVER (PARTITION BY id, line_no ORDER BY k) AS grp FROM b),
+      p AS (SELECT id, line_no, grp, {_trim("string_agg(tok, '' ORDER BY k)")} AS part FROM g GROUP BY id, line_no, grp),
+      n AS (SELECT *, row_number() OVER (PARTITION BY id, line_no ORDER BY grp) - 1 AS part_no, regexp_full_match(part, '「.*」|『.*』') AS spoken, regexp_full_match(part, '（.*）') AS rounded FROM p WHERE part <> ''),
+      c AS (SELECT *, {label}, CASE WHEN spoken OR (rounded AND contains('{opening}', '（')) THEN [part] ELSE list_filter(regexp_extract_all(part, '[^。！？!]*[。！？!]|[^。！？!]+'), lambda x: {_trim('x')} <> '') END AS cut FROM n)
+      SELECT id, line_no::INT AS line_no, part_no::INT AS part_no, (j - 1)::INT AS sent_no, {_trim('cut[j]')} AS segment, {label.rsplit(' ', 1)[1]} FROM c, unnest(range(1, len(cut) + 1)) AS u(j)"""
+
+
+SQL["bracket_segments"] = _segments_sql(_Q, "「『（", "CASE WHEN spoken THEN 'dialogue' WHEN rounded THEN 'monologue' ELSE 'narrative' END AS kind")
+SQL["quoted_segments"] = _segments_sql("「[^」]*」|『[^』]*』", "「『", "spoken AS is_dialogue")
 
 
 @query(rf"""WITH {_CORPUS}, l AS (SELECT id, i - 1 AS line_no, {_trim('a[i]')} AS line FROM (SELECT id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM corpus), unnest(range(1, len(a) + 1)) AS u(i)),
@@ -317,6 +323,12 @@ def antecedent_scores(s, d):
     return found.select("doc", "idx", "ent", "distance", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
-@query()
+@query("""WITH m AS (SELECT scene_id AS doc, idx, subjectcandidate AS ent, bool_or(coalesce(isdialogue, false)) AS is_speaker FROM pov_sentence_input WHERE subjectcandidate IS NOT NULL AND subjectcandidate <> '' GROUP BY ALL),
+  q AS (SELECT DISTINCT scene_id AS doc, idx FROM pov_sentence_input WHERE subjectcandidate IS NULL),
+  k AS (SELECT q.doc, q.idx, q.idx - m.idx AS distance, is_speaker, row_number() OVER (PARTITION BY q.doc, q.idx, m.ent ORDER BY q.idx - m.idx) AS r FROM q JOIN m ON q.doc = m.doc AND q.idx - m.idx BETWEEN 0 AND 3),
+  z AS (SELECT doc, idx, CASE WHEN distance = 1 AND is_speaker THEN 0.3 + 0.25 ELSE 0.3 * power(0.75, distance) END AS score FROM k WHERE r = 1),
+  e AS (SELECT doc, idx, 1 / sum(exp((score - top) * 2)) AS likelihood FROM (SELECT *, max(score) OVER (PARTITION BY doc, idx) AS top FROM z) GROUP BY doc, idx)
+  SELECT doc, idx, 1 AS missing, round(coalesce(likelihood, 0.8) + 1e-9, 6)::DOUBLE AS zero, true AS is_incomplete, round(greatest(0.1, 1 - (0.2 + 0.3 * coalesce(likelihood, 0.8))) + 1e-9, 6)::DOUBLE AS score FROM q LEFT JOIN e USING (doc, idx)""")
 def incomplete_sentences(s, d):
-    return anaphora.incomplete(*R._mentions(s, d), F.lit(1))
+    found = anaphora.incomplete(*R._mentions(s, d), F.lit(1))
+    return found.select("doc", "idx", "missing", F.round(F.col("zero") + 1e-9, 6).alias("zero"), "is_incomplete", F.round(F.col("score") + 1e-9, 6).alias("score"))
