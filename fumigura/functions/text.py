@@ -61,11 +61,18 @@ def escaped_rubies(c: Column) -> Column:
 def body(c: Column) -> Column:
     """Text between the second rule of dashes and the colophon; the whole text where there is none. Null stays null."""
     lines = F.transform(F.split(c, r"\r?\n"), lambda x, i: F.struct(x.alias("line"), strip(x).alias("s"), i.alias("i")))
-    second = F.try_element_at(F.filter(lines, lambda x: x["s"].startswith("-------")), F.lit(2))["i"]
-    after = F.slice(lines, second + 2, F.greatest(F.size(lines), F.lit(1)))
-    stop = F.try_element_at(F.filter(after, lambda x: x["s"].startswith("底本：") | x["s"].startswith("［＃本文終わり］")), F.lit(1))["i"]
-    kept = F.filter(F.slice(after, 1, F.coalesce(stop - second - 1, F.size(lines))), lambda x: ~x["s"].startswith("-------"))
-    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(c)
+
+    def inside(lines: Column) -> Column:
+        second = F.try_element_at(F.filter(lines, lambda x: x["s"].startswith("-------")), F.lit(2))["i"]
+        return let(F.slice(lines, second + 2, F.greatest(F.size(lines), F.lit(1))), until)
+
+    def until(after: Column) -> Column:
+        stop = F.try_element_at(F.filter(after, lambda x: x["s"].startswith("底本：") | x["s"].startswith("［＃本文終わり］")), F.lit(1))["i"]
+        kept = F.filter(F.slice(after, 1, F.coalesce(stop - F.get(after, F.lit(0))["i"], F.size(after), F.lit(0))), lambda x: ~x["s"].startswith("-------"))
+        return F.transform(kept, lambda x: x["line"])
+
+    whole = lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(c)
+    return F.when(c.contains("-------"), let(let(lines, inside), whole)).otherwise(c)
 
 
 #: Elements folded at once: appending to an array copies it.
@@ -77,17 +84,20 @@ def placed(parts: Column, width: Callable[[Column], Column], keep: Callable[[Col
 
     Folded block by block: the arrays that grow stay short, and the work in proportion to the parts.
     """
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK)), lambda b: F.slice(parts, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
-    # parts is evaluated once, into the blocks; their starts come from the sums of their widths
-    sized = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda n, x: n + width(x)).alias("n")))
 
     def within(block: Column, at: Column) -> Column:
         step = lambda acc, x: F.struct((acc["at"] + width(x)).alias("at"), F.when(keep(x), F.concat(acc["out"], F.array(make(x, acc["at"])))).otherwise(acc["out"]).alias("out"))
         return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
 
-    nested = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    done = F.aggregate(sized, nested, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.concat(acc["out"], F.array(within(b["b"], acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
-    return F.when(F.size(parts) > 0, done).otherwise(F.array().cast(f"array<{kind}>"))
+    def all_of(parts: Column) -> Column:
+        few = within(parts, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK)), lambda b: F.slice(parts, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        sized = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda n, x: n + width(x)).alias("n")))
+        nested = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        many = F.aggregate(sized, nested, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.concat(acc["out"], F.array(within(b["b"], acc["at"]))).alias("out")), lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(parts) <= BLOCK, few).otherwise(many)
+
+    return let(parts, all_of)
 
 
 def expand_repetition(c: Column) -> Column:
