@@ -93,11 +93,15 @@ def latest(stream: DataFrame, key: str, version: str, value: str) -> DataFrame:
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames))
-        best = rows.loc[rows[version].idxmax()]
-        if known is None or best[version] > known:
-            state.update((int(best[version]),))
-            yield pd.DataFrame([(k[0], int(best[version]), best[value])], columns=[key, "version", value])
+        best = None
+        for rows in frames:  # a key's rows may come in several, each with an index of its own
+            at = int(rows[version].to_numpy().argmax())
+            found = int(rows[version].iloc[at])
+            if (known is None or found > known) and (best is None or found > best[0]):
+                best = (found, rows[value].iloc[at])
+        if best is not None:
+            state.update((best[0],))
+            yield pd.DataFrame([(k[0], *best)], columns=[key, "version", value])
 
     return stream.where(F.col(version).isNotNull()).select(key, F.col(version).cast("long").alias(version), value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version long, {value} {what}", "version long", "append", GroupStateTimeout.NoTimeout)
 

@@ -130,3 +130,18 @@ def test_waits(spark):
     done = spark.createDataFrame([(1, 12), (1, 40)], "key int, s int").select("key", F.timestamp_seconds("s").alias("answered"))
     got = {r["key"]: (r["requests"], r["timeouts"], r["longest"]) for r in stream.watchdog(stream.waits(asked, done), 5.0).collect()}
     assert got == {1: (2, 1, 2.0), 2: (1, 1, None)}
+
+
+def test_latest_of_a_key_in_several_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(v % 3, v, f"e{v}") for v in range(300)] + [(7, None, "none")]
+    rng.shuffle(rows)
+    path = str(tmp_path / "edits.parquet")
+    spark.createDataFrame(rows, "k int, version long, what string").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = stream.drained(stream.latest(stream.from_parquet(spark, path), "k", "version", "what")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {tuple(r) for r in got} == {(0, 297, "e297"), (1, 298, "e298"), (2, 299, "e299")}
