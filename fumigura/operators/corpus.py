@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fumigura.functions import text as T
+from fumigura.sources.io import kept
 
 #: Bytes of guard texts up to which they are sent to every task; larger guards are joined.
 GUARD_BYTES = 4 << 20
@@ -65,28 +69,170 @@ def _matcher(guard: list[str], both_ways: bool):
     return run
 
 
+def _sizes(least: int, most: int, short: bool) -> list[int]:
+    """Sizes of stretches that have keys: ``least`` and its doubles, and if ``short`` each size below."""
+    return [*(range(1, least) if short else ()), *(least << i for i in range(64) if least << i <= most)]
+
+
+def _stretches(texts: list[str], least: int, short: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of ``_sizes``: the size, and of each stretch of so many characters its text, its place in it and its key."""
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(a)) - (np.cumsum(lengths) - lengths)[owner]
+    left, h, done = lengths[owner] - place, np.zeros(len(a), np.uint64), 0
+    base = 0x9E3779B97F4A7C15
+    for n in _sizes(least, int(lengths.max(initial=0)), short):
+        m = len(a) - n + 1
+        if n == 2 * done and n > least:
+            h = h[:m] * np.uint64(pow(base, done, 1 << 64)) + h[done : done + m]
+        else:
+            for size in range(done + 1, n + 1):
+                h = h[: len(a) - size + 1] * np.uint64(base) + a[size - 1 :] + np.uint64(1)
+        done, ok = n, left[:m] >= n
+        k = h[ok] + np.uint64(n)
+        k = (k ^ (k >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        k = (k ^ (k >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        yield n, owner[:m][ok], place[:m][ok], k ^ (k >> np.uint64(31))
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in slices of some 500,000 characters, each with the place of its first."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < 500_000:
+            size += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
+def _heads(texts: list[str], least: int) -> np.ndarray:
+    """Key of the longest head of each text that has one; of an empty text 0."""
+    out = np.zeros(len(texts), np.uint64)
+    for at, part in _slices(texts):
+        sizes = _sizes(least, max(map(len, part)), True)
+        longest = [sizes[bisect_right(sizes, len(t)) - 1] if t else 0 for t in part]
+        part, whole = [t[:n] for t, n in zip(part, longest, strict=True)], np.array(longest)
+        for n, owner, place, key in _stretches(part, least, True):
+            own = (place == 0) & (whole[owner] == n)
+            out[at + owner[own]] = key[own]
+    return out
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+class _Sieve:
+    """A Bloom filter of keys, 32 bits or more for each (128 MB at most): it lets all of the keys through, and hardly any others while it is not full."""
+
+    probes = (0, 17, 34)  # bits of a key from which on it is read
+
+    def __init__(self, keys: DataFrame) -> None:
+        self.bits = min(30, max(20, (32 * keys.count()).bit_length()))
+        slots = F.array(*[F.shiftrightunsigned(F.shiftleft("k", p), 64 - self.bits) for p in self.probes])
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))
+        words = keys.select(F.explode(slots).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()  # 2^24 rows at most
+        bitmap = np.zeros(1 << (self.bits - 6), np.int64)
+        bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+        self._shared = keys.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def holding(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that are let through."""
+        words, at = np.frombuffer(self._shared.value, np.uint64), np.arange(len(keys))
+        for p in self.probes:
+            slot = (keys[at] << np.uint64(p)) >> np.uint64(64 - self.bits)
+            at = at[(words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+
+def _headed(least: int, once: bool = False):
+    """mapInArrow: a column of texts -> key of the head and text, empty ones left out; ``once``: the keys alone, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            keys = _heads(texts, least)
+            if once:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys).view(np.int64))], names=["k"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(texts, pa.string())], names=["k", "other"])
+
+    return run
+
+
+def _opened(heads: _Sieve, least: int):
+    """mapInArrow: phrases -> their stretches that may be heads of texts: key and, of the shorter ones, the stretch, else the phrase from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in _slices(batch.column(0).to_pylist()):
+                for n, owner, place, key in _stretches(part, least, True):
+                    at = heads.holding(key)
+                    if n < least:
+                        at = at[np.unique(key[at], return_index=True)[1]]
+                    found = [part[o][p : p + n if n < least else None] for o, p in zip(owner[at].tolist(), place[at].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(found, pa.string())], names=["k", "other"])
+
+    return run
+
+
+def _candidates(guard: _Sieve, within: _Sieve | None, least: int, names: list[str]):
+    """mapInArrow: rows with ``text`` and the trimmed ``_t`` -> columns ``names`` with a key that a phrase begins with, or that opens a stretch of one (``inner``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in _column(batch, "text").to_pylist()]
+            rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for start, part in _slices(texts):
+                for _, owner, _, key in _stretches(part, least, False):
+                    at = guard.holding(key)
+                    pairs = np.unique(np.rec.fromarrays([owner[at] + start, key[at]]))
+                    rows.append(pairs["f0"])
+                    keys.append(pairs["f1"])
+            n = sum(map(len, rows))
+            if within:
+                trimmed = [t or "" for t in _column(batch, "_t").to_pylist()]
+                heads = _heads(trimmed, least)
+                at = within.holding(heads)
+                at = at[np.fromiter(map(len, trimmed), np.int64, len(trimmed))[at] > 0]
+                rows.append(at)
+                keys.append(heads[at])
+            chosen = batch.select(names).take(pa.array(np.concatenate(rows)))
+            inner = np.arange(len(chosen)) >= n
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(inner)], names=[*names, "k", "inner"])
+
+    return run
+
+
 def _anchored(df: DataFrame, phrases: DataFrame, least: int, both_ways: bool) -> DataFrame:
-    """The same by equi-joins on the hash of a stretch of ``least`` characters, for guards of any size."""
-    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(least)))))
-    head = F.xxhash64(F.left("phrase", F.lit(least)))
-    long = df.where(F.length("text") >= least).select("*", F.explode(windows(F.col("text"))).alias("_a"))
-    found = long.join(phrases.select("phrase", head.alias("_a")), "_a").where(F.col("text").contains(F.col("phrase"))).select(*df.columns)
+    """The same by an equi-join on keys of heads, for guards of any size.
+
+    A head has ``least`` characters or the longest double of that, so that a
+    stock opening alone meets nothing. Bitmaps of the keys of each side keep
+    all other stretches from being written out; the texts themselves decide.
+    """
+    rows = df.withColumn("_t", T.strip(F.col("text"))) if both_ways else df.withColumn("_t", F.lit(None).cast("string"))
+    begun = phrases.mapInArrow(_headed(least), "k long, other string")
+    guard, within, others = _Sieve(begun.select("k").distinct()), None, begun.withColumn("inner", F.lit(False))
     if both_ways:
-        rows = df.withColumn("_t", T.strip(F.col("text"))).where("_t <> ''")
-        parts = phrases.select("phrase", F.explode(windows(F.col("phrase"))).alias("_a"))
-        inner = rows.where(F.length("_t") >= least).withColumn("_a", F.xxhash64(F.left("_t", F.lit(least)))).join(parts, "_a").where(F.col("phrase").contains(F.col("_t")))
-        sizes = F.explode(F.sequence(F.lit(1), F.lit(least - 1))).alias("_n")
-        pieces = phrases.select("phrase", sizes).select(F.explode(F.expr("array_distinct(transform(sequence(1, length(phrase) - _n + 1), i -> substring(phrase, i, _n)))")).alias("_t")).distinct()
-        short = rows.where(F.length("_t") < least).join(pieces, "_t", "left_semi")
-        found = found.union(inner.select(*df.columns)).union(short.select(*df.columns))
-    return found.distinct()
+        heads = _Sieve(kept(rows.select("_t").mapInArrow(_headed(least, True), "k long").distinct(), "guard-heads"))
+        inner = kept(phrases.mapInArrow(_opened(heads, least), "k long, other string").distinct(), "guard-stretches")
+        within, others = _Sieve(inner.select("k").distinct()), others.union(inner.withColumn("inner", F.lit(True)))
+    schema = StructType([*df.schema.fields, StructField("k", LongType()), StructField("inner", BooleanType())])
+    met = rows.mapInArrow(_candidates(guard, within, least, df.columns), schema).alias("a")
+    holds = F.when(F.col("a.inner"), F.col("b.other").startswith(T.strip(F.col("a.text")))).otherwise(F.col("a.text").contains(F.col("b.other")))
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.inner") == F.col("b.inner")) & holds
+    return met.join(others.alias("b"), on, "left_semi").select(*df.columns).distinct()
 
 
 def substring_leaks(df: DataFrame, guard: DataFrame, least: int, both_ways: bool) -> DataFrame:
     """Rows of ``df`` (id, text) that hold a guard phrase of ``least`` characters or more, or lie within one.
 
     A guard of up to GUARD_BYTES is sought at once by an automaton in one pass;
-    a larger one is joined on stretches of ``least`` characters.
+    a larger one is joined on keys of heads of ``least`` characters or more.
     """
     phrases = guard.where(F.length("phrase") >= least).select("phrase").distinct()
     size = phrases.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0]

@@ -145,3 +145,32 @@ def test_latest_of_a_key_in_several_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {tuple(r) for r in got} == {(0, 297, "e297"), (1, 298, "e298"), (2, 299, "e299")}
+
+
+def test_join_of_a_guard_holds_no_stock_stretches(spark, monkeypatch):
+    rng = random.Random(6)
+    stock = "それはある静かな夜の"
+    word = lambda n: "".join(rng.choice("あいうえおかきくけこ") for _ in range(n))
+    guard = [stock + word(n) for n in (2, 14, 15, 38, 39, 90, 200)] + [word(300)]
+    texts = [stock + word(60) for _ in range(200)] + [word(5) + g + word(9) for g in guard] + [g[k : k + n] for g in guard for k, n in ((0, 3), (3, 11), (1, 12), (0, 23), (2, 24), (2, 60))] + [guard[-1][40:250], "ん", " ", "𠮷" + guard[0]]
+    texts += [" " + t + "　\n" for t in texts[-20:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    phrases = spark.createDataFrame([(g,) for g in guard], "phrase string")
+    want = {i for i, t in enumerate(texts) if any(g in t for g in guard) or (t.strip() and any(t.strip() in g for g in guard))}
+    candidates = corpus._candidates
+    total = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = candidates(*args)
+
+        def count(batches):
+            for b in run(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return count
+
+    monkeypatch.setattr(corpus, "GUARD_BYTES", 0)
+    monkeypatch.setattr(corpus, "_candidates", counted)
+    assert {r["id"] for r in corpus.substring_leaks(df, phrases, 12, True).collect()} == want and want
+    assert total.value <= len(want) + 20
