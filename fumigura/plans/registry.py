@@ -51,7 +51,7 @@ def _errors(s: SparkSession) -> DataFrame:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Sentences of the corpus that leak no benchmark text, first wins, by source."""
-    rows = table(s, d, "token_corpus_v18_leakfree", "id", "text", "source").where("text is not null").distinct()
+    rows = distinct_rows(table(s, d, "token_corpus_v18_leakfree", "id", "text", "source").where("text is not null"), "id")
     leaked = corpus.substring_leaks(rows.select("id", "text"), _guard(s, d), 12, True).select("id").distinct()
     clean = rows.join(leaked, "id", "left_anti").select("id", "source", F.posexplode(T.sentences(F.col("text"))).alias("no", "sentence"))
     kept = corpus.first_wins(clean.where(F.length("sentence").between(6, 120)), T.strip(F.col("sentence")), "id", "no")

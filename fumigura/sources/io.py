@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows in as many partitions as shuffles have, not fewer: what follows is costlier than its size tells."""
+def distinct_rows(df: DataFrame, *by: str) -> DataFrame:
+    """Distinct rows in as many partitions as shuffles have, not fewer: what follows is costlier than its size tells.
+
+    ``by``: columns that keep rows together, if a join on them follows.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *df.columns).distinct()
+    return df.repartition(n, *(by or df.columns)).distinct()
 
 
 def shared_dir(spark: SparkSession) -> str:

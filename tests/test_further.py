@@ -1,11 +1,13 @@
 """Operators for works of any length, guards of any size and the further queries, on small and odd rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from fumigura.functions import text as T
 from fumigura.operators import annotate, consistency, corpus, evaluate, generate, normalizer, pas, tokenizer, vectors
+from fumigura.plans import registry
 from fumigura.sources import io
 from fumigura.streaming import events as stream
 
@@ -174,3 +176,24 @@ def test_join_of_a_guard_holds_no_stock_stretches(spark, monkeypatch):
     monkeypatch.setattr(corpus, "_candidates", counted)
     assert {r["id"] for r in corpus.substring_leaks(df, phrases, 12, True).collect()} == want and want
     assert total.value <= len(want) + 20
+
+
+def test_flagship_by_join_moves_its_rows_once(spark, monkeypatch, tmp_path):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("あいうえおかきくけこ") for _ in range(n))
+    guard = [word(30) for _ in range(20)]
+    texts = [word(12) + "。" + word(20) for _ in range(60)] + [word(4) + g + "。" for g in guard[:9]] + [g[3:20] for g in guard[9:]] + [None, ""]
+    corpus_rows = [(f"r{i}", t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    spark.createDataFrame(corpus_rows + corpus_rows[:30], "id string, text string, source string").write.parquet(str(tmp_path / "token_corpus_v18_leakfree.parquet"))
+    spark.createDataFrame([(str(i), g) for i, g in enumerate(guard)], "id string, text string").write.parquet(str(tmp_path / "benchmark_sample.parquet"))
+    spark.createDataFrame([("f", None)], "id string, text string").write.parquet(str(tmp_path / "fused_sample.parquet"))
+    one_pass = {tuple(r) for r in registry.flagship(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(corpus, "GUARD_BYTES", 0)
+    joined = registry.flagship(spark, str(tmp_path))
+    assert {tuple(r) for r in joined.collect()} == one_pass and sum(r[1] for r in one_pass) == 120
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.flagship(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(id#\d+, text#\d+, source", plan)
