@@ -5,7 +5,7 @@ none. A language model of the corpus (in how many distinct texts each pair of
 neighbouring characters occurs, in a sketch of fixed size, without the passages
 that show by their form alone that they are garbled) tells how much likelier a
 passage becomes when a chain is undone. Steps that don't show by form and are
-common in a sample of the corpus are tried on every text, rare pairs or not. Expectation-maximisation
+common in the corpus are tried on every text, rare pairs or not. Expectation-maximisation
 pools this evidence: each source has its own shares of the chains, drawn to the
 shares of the whole corpus, and each record's posterior follows from the shares
 of its source and its own evidence; records whose posterior is for a chain come
@@ -43,8 +43,8 @@ FEW = 5
 LEAST_GAIN = 6.0
 #: Records' worth of the whole corpus's shares that each source starts from, and the change of a share from which on rounds go on.
 PRIOR, SETTLED = 20.0, 1e-3
-#: Texts of the sample, and share of them from which a step is tried on every text: well under the share at which its pairs are no longer rare.
-SAMPLE, COMMON = 1000, 0.003
+#: Share of the distinct texts from which a step is tried on every text: well under the share at which its pairs are no longer rare.
+COMMON = 0.003
 #: Characters of a passage that shows by its form, and sequences of UTF-8 in a text whose other letters are ASCII.
 FORMAL, SEQUENCES = 12, 3
 #: Evidence of one replacement character.
@@ -118,8 +118,8 @@ def _count_undone(shared, common: frozenset[str]):
 
 
 def pair_model(df: DataFrame, count=_count) -> np.ndarray:
-    """Natural logarithm of the share of distinct texts with each pair of characters."""
-    got = distinct_spread(df).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 + 1 rows
+    """Natural logarithm of the share of the texts, each given once, with each pair of characters."""
+    got = spread(df).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 + 1 rows
     counts = np.zeros(1 << SLOT_BITS)
     slot, n = got["slot"].to_numpy(), got["n"].to_numpy()
     counts[slot[slot >= 0]] = n[slot >= 0]
@@ -547,30 +547,96 @@ def chains(text: str, score: Scorer) -> list[tuple[str, float, str]]:
 # --- operator ---------------------------------------------------------------
 
 
+@lru_cache(None)
+def _beyond(codec: str) -> np.ndarray:
+    """By code point up to 0x10000, which stands for all above: whether the encoding lacks it."""
+    out = np.array([0xD800 <= c < 0xE000 or not chr(c).encode(codec, "ignore") for c in range(1 << 16)] + [not "𠮷".encode(codec, "ignore")])
+    out[10] = False
+    return out
+
+
+def _promising(texts: list[str], score: Scorer) -> dict[int, list[str]]:
+    """By text the steps of two multi-byte encodings that may make a stretch of it likelier by ``LEAST_GAIN``.
+
+    All texts are written and read at once. A log share is never above zero, so
+    the pairs within the restored stretch bound its gain from above.
+    """
+    out: dict[int, list[str]] = {}
+    joined = "\n".join(texts)
+    spans = np.array([m.span() for m in _WIDE_RUN.finditer(joined)], np.int64).reshape(-1, 2)
+    if not len(spans):
+        return out
+    was = np.concatenate([[0.0], np.cumsum(score.logs("\n" + joined + "\n"), dtype=np.float64)])
+    first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    a = np.frombuffer("\n".join(joined[s:e] for s, e in spans.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = spans[:, 1] - spans[:, 0] + 1  # with the line break after each
+    place = np.arange(len(a)) + np.repeat(spans[:, 0] - (np.cumsum(lengths) - lengths), lengths)[: len(a)]
+    for codec in MULTI:
+        kept = np.where(_beyond(codec)[np.minimum(a, 1 << 16)], np.uint32(0), a)
+        cut = np.flatnonzero((kept == 0) | (kept == 10))
+        start, stop = place[np.minimum(np.concatenate([[0], cut + 1]), len(a) - 1)], place[np.concatenate([cut, [len(a)]]) - 1] + 1
+        before = was[np.maximum(start, stop) + 1] - was[start]
+        raw = kept.tobytes().decode("utf-32-le").encode(codec)
+        for right in LEGACY:
+            step = f"{right}>{codec}"
+            if step not in FORMLESS:
+                continue
+            b = np.frombuffer(raw.decode(right, "replace").encode("utf-32-le"), np.uint32)
+            lost = b == 0xFFFD
+            ends = np.flatnonzero((b == 0) | (b == 10))
+            starts, ends = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(b)]])
+            bad, size = np.concatenate([[0], np.cumsum(lost)]), ends - starts
+            bad = bad[ends] - bad[starts]
+            # an unfinished character counts once where nothing follows, here up to twice
+            longer = right in ("euc_jp", "gb18030")
+            at = np.flatnonzero((size >= 2) & (bad <= size // 20 + longer))
+            pairs = score.model[_slots(b)].astype(np.float64)
+            pairs[lost[1:] | lost[:-1]] = 0.0
+            run = np.concatenate([[0.0], np.cumsum(pairs)])
+            tail = np.where(longer & (bad[at] > 0), 4, 1)
+            after = run[np.maximum(ends[at] - tail, starts[at])] - run[starts[at]]
+            at = at[after - before[at] >= LEAST_GAIN - 0.01]
+            for i in np.unique(np.searchsorted(first, start[at], "right") - 1).tolist():
+                out.setdefault(i, []).append(step)
+    return out
+
+
 def _formless(shared):
     """mapInArrow: texts -> the best step without form of each that it helps although its pairs are not rare."""
+    single = sorted(s for s in FORMLESS if s.split(">")[1] not in MULTI)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(np.frombuffer(shared.value, np.float32), FORMLESS)
+
+        def best(texts: list[str]) -> Iterator[str]:
+            texts = [texts[i] for i in np.flatnonzero(~suspicious(texts, score))]
+            promising = _promising(texts, score)
+            for i, text in enumerate(texts):
+                tried = promising.get(i, []) + (single if _MIDDLE_ONE.search(text) else [])
+                if tried:
+                    t = Text(text, score)
+                    gain, step = max((undo(t, step)[1], step) for step in tried)
+                    if gain > 0:
+                        yield step
+
         for batch in batches:
-            found, texts = [], column(batch, "text").to_pylist()
-            for i in np.flatnonzero(~suspicious(texts, score)):
-                t = Text(texts[i], score)
-                gain, step = max((undo(t, step)[1], step) for step in sorted(FORMLESS))
-                found += [step] if gain > 0 else []
+            found, group, size = [], [], 0
+            for text in column(batch, "text").to_pylist():
+                group.append(text)
+                size += len(text)
+                if size > SLICE:
+                    found += best(group)
+                    group, size = [], 0
+            found += best(group) if group else []
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["step"])
 
     return run
 
 
 def common_steps(texts: DataFrame, shared) -> frozenset[str]:
-    """Steps without form that help a share of at least ``COMMON`` of a sample of the distinct texts, pairs not being rare."""
-    total = max(1, texts.count())
-    part = 1_000_000
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) < max(1, min(part, SAMPLE * part // total))).distinct()
-    sample = materialize(sample, "garbled-sample")
-    least = max(2, COMMON * sample.count())
-    rows = spread(sample).mapInArrow(_formless(shared), "step string").groupBy("step").count().collect()  # a row by step at most
+    """Steps without form that help a share of at least ``COMMON`` of all distinct texts (a table on storage), pairs not being rare."""
+    least = max(2, COMMON * texts.count())
+    rows = spread(texts).mapInArrow(_formless(shared), "step string").groupBy("step").count().collect()  # a row by step at most
     return frozenset(r["step"] for r in rows if r["count"] >= least)
 
 
@@ -607,14 +673,15 @@ def garbled(documents: DataFrame) -> DataFrame:
     """
     docs = spread(documents.select("doc_id", "source", "text").where(F.col("text").isNotNull()))
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(pair_model(docs.select("text")).tobytes())
+    texts = materialize(distinct_spread(docs.select("text")), "garbled-texts")
+    shared = spark.sparkContext.broadcast(pair_model(texts).tobytes())
     common: frozenset[str] = frozenset()
     while True:  # the fewer garbled pairs the model holds, the more steps show
-        more = common_steps(docs.select("text"), shared) - common
+        more = common_steps(texts, shared) - common
         if not more:
             break
         common |= more
-        shared = spark.sparkContext.broadcast(pair_model(docs.select("text"), _count_undone(shared, common)).tobytes())
+        shared = spark.sparkContext.broadcast(pair_model(texts, _count_undone(shared, common)).tobytes())
     found = materialize(docs.mapInArrow(_evidence(shared, common), "doc_id long, source string, chain string, evidence double, restored string"), "garbled-evidence")
     ev = found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "chain", "evidence")
     sizes = materialize(documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("records")), "garbled-sizes")

@@ -236,3 +236,33 @@ def test_first_by_dice(spark, monkeypatch):
         for r in mine:
             left -= r["w"]
             assert r["first"] == (left >= 0)
+
+
+def test_common_steps_count_all_texts(spark):
+    """A garbling that no text of a sample by hash has, but enough of all texts."""
+    rng = random.Random(14)
+    words = ["森の奥で古い鍵を拾った。", "彼女は静かに笑い、町へ向かった。", "雨の夜、塔の上から手紙が届いた。", "誰も知らない話だった。", "朝の市場で魚を売る声がした。", "兄は黙って火を見ていた。"]
+    texts = sorted({"".join(rng.choice(words) for _ in range(8)) for _ in range(2500)})
+    garble = lambda t: t.encode("euc_jp").decode("gb18030", "replace")
+    hashed = spark.createDataFrame([(i, garble(t)) for i, t in enumerate(texts[:900])], "i int, t string").selectExpr("i", "pmod(xxhash64(t), 1000000) > 600000 AS last").collect()
+    last = {r["i"] for r in hashed if r["last"]}
+    rows = [garble(t) if i in last else t for i, t in enumerate(texts[:900]) if i in last or i >= 300] + texts[900:]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").distinct()
+    shared = spark.sparkContext.broadcast(mojibake.pair_model(df).tobytes())
+    assert len(rows) > 2000 and "euc_jp>gb18030" in mojibake.common_steps(df, shared)
+
+
+def test_bound_of_gains_leaves_out_no_step(spark):
+    rng = random.Random(15)
+    words = ["森の奥で古い鍵を拾った。", "彼女は静かに笑い、", "雨の夜、\n", "〜①㈱", "한국어 글", "𠮷野家で", "ABC def ", "«Où?» "]
+    texts = ["".join(rng.choice(words) for _ in range(12)) for _ in range(60)]
+    texts += [t.encode(r, "ignore").decode(c, "ignore") for t in texts[:20] for r, c in (("euc_jp", "cp932"), ("cp932", "gb18030"), ("gb18030", "euc_jp"), ("big5", "cp949"))] + ["", "a"]
+    score = mojibake.Scorer(mojibake.pair_model(spark.createDataFrame([(t,) for t in texts[:60]], "text string")), mojibake.FORMLESS)
+    tried, helped = mojibake._promising(texts, score), 0
+    for i, t in enumerate(texts):
+        x = mojibake.Text(t, score)
+        for step in mojibake.FORMLESS:
+            if step.split(">")[1] in mojibake.MULTI and mojibake.undo(x, step)[1] > 0:
+                helped += 1
+                assert step in tried.get(i, [])
+    assert helped > 20
