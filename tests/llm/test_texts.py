@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,39 @@ def test_bound_of_gains_leaves_out_no_step(spark):
                 helped += 1
                 assert step in tried.get(i, [])
     assert helped > 20
+
+
+def test_sound_texts_try_no_step(spark, monkeypatch):
+    rng = random.Random(16)
+    words = ["L’élève trouva la clé à la gare. ", "Où était-elle ? ", "Der Fährmann öffnete die Tür. ", "森の奥で古い鍵を拾った。", "彼女は静かに笑い、町へ向かった。", "『もう戻れない』と彼は言った。"]
+    texts = sorted({"".join(rng.choice(words) for _ in range(8)) for _ in range(400)})
+    shared = spark.sparkContext.broadcast(mojibake.pair_model(spark.createDataFrame([(t,) for t in texts], "text string")).tobytes())
+    tried, undo = [], mojibake.undo
+    monkeypatch.setattr(mojibake, "undo", lambda t, step: tried.append(step) or undo(t, step))
+    got = list(mojibake._formless(shared)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert not sum(b.num_rows for b in got) and not tried
+
+
+def test_candidates_leave_out_no_step(spark):
+    rng = random.Random(17)
+    words = ["森の奥で古い鍵を拾った。", "彼女は静かに笑い、", "雨の夜、\n", "〜①㈱", "한국어 글", "𠮷野家で", "ABC def ", "«Où?» ", "Später hörte er ", "ｶﾅ"]
+    texts = ["".join(rng.choice(words) for _ in range(12)) for _ in range(60)]
+    model = mojibake.pair_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for k, step in enumerate(mojibake._STEPS):
+        right, wrong = step.split(">")
+        if right != "iso2022_jp":
+            for t in texts[k % 20 : k % 20 + 4]:
+                bad = t.encode({"utf8": "utf-8"}.get(right, right), "ignore").decode(wrong, "replace")
+                texts += [bad, t + bad[: len(bad) // 2] + t]
+    texts += ["", "a", "é", "\n", "𠮷野", "\x81", "$B", "é\n\né", "�"]
+    for common in (frozenset(), mojibake.FORMLESS):
+        score, helped = mojibake.Scorer(model, common), set()
+        for t, first, further in zip(texts, mojibake.first_candidates(texts), mojibake.candidates(texts, score), strict=True):
+            tried = first | further
+            for step in mojibake._STEPS:
+                all_ = mojibake.undo(mojibake.Text(t, score), step)
+                if all_[1] > 0:
+                    helped.add(step)
+                    assert step in tried
+                    assert mojibake.undo(mojibake.Text(t, score, {step: tried[step]} if tried[step] is not None else None), step) == all_
+        assert len(helped) > 40
